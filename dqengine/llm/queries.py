@@ -48,6 +48,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", s.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.llm import line_dedup as n
+
+    rows = n.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "lines", "lines_gone", "lines_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dqengine.llm import mixing as m
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_line_dedup": op5_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op9_winnowing": op9_winnowing,
