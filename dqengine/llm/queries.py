@@ -55,6 +55,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lines", "lines_gone", "lines_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.llm import suffix_groups as g
+
+    rows = g.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dqengine.llm import mixing as m
 
@@ -90,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_suffix_groups": op6_suffix_groups,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op9_winnowing": op9_winnowing,
