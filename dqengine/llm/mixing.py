@@ -23,6 +23,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dqengine.llm.common import cut, ship, text_or_empty
@@ -160,3 +161,19 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     result = result.join(F.broadcast(sources.select("_s", "_name", "source_size", "target")), "_s")
     copies = (F.col("_whole") + F.round("_p").cast("int")).alias("copies")
     return result.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_name").alias(source_col), "size", "source_size", "target", copies).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+
+
+def repeat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it. Rows of size 0 stay once, for they take nothing from any target.
+
+    Rows that repeat id and size share their draws in some order.
+    """
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    by = [F.col(id_col).cast("string").alias("_i"), F.col(source_col).cast("string").alias("_c"), F.col("size").alias("_z")]
+    nth = F.row_number().over(W.partitionBy("_i", "_c", "_z").orderBy(F.col("copies").desc())).alias("_nth")
+    counts = taken.select(*by, "copies").select("_i", "_c", "_z", nth, F.when(F.col("_z") == 0, 1).otherwise(F.col("copies")).alias("_copies"))
+    held = docs.withColumns({"_i": F.col(id_col).cast("string"), "_c": F.col(source_col).cast("string"), "_z": word_count(text_or_empty(text_col))})
+    held = held.withColumn("_nth", F.row_number().over(W.partitionBy("_i", "_c", "_z").orderBy(F.xxhash64(text_col))))
+    same = [held[c].eqNullSafe(counts[c]) for c in ("_i", "_c")] + [held[c] == counts[c] for c in ("_z", "_nth")]
+    joined = held.join(counts, same).where("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(held[c] for c in docs.columns))

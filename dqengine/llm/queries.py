@@ -33,6 +33,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(q.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score"))
 
 
+def op2_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.llm import chaining as c
+
+    return c.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dqengine.llm import toxicity as t
 
@@ -94,6 +100,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_chaining": op2_chaining,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
