@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -27,8 +28,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage there."""
+    """Materialise in the shared checkpoint folder and cut the lineage there.
+
+    What earlier steps shuffled and nothing refers to any more is freed first:
+    Spark removes the files of a shuffle when its plan is collected as garbage.
+    """
     checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqengine.llm.common import map_batches, text_or_empty
+from dqengine.llm.common import cut, map_batches, text_or_empty
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -108,31 +108,40 @@ def variants(suspects: DataFrame) -> DataFrame:
     return map_batches(suspects.select("_pos", "_lh", "_line"), run, f"_key long, _role byte, _pos {kind}, _lh long")
 
 
-def removals(keyed: DataFrame, min_chars: int) -> DataFrame:
-    """(_dk, _gone, _exact, _near): the numbers of the lines that go, for each document that loses some."""
-    lines = line_table(keyed)
+def candidates(lines: DataFrame, min_chars: int) -> DataFrame:
+    """(_lh, _lc, _first, _copies, _asked): lines that occur again, and those that may have a neighbour (_asked)."""
+    shared = lines.where(F.length("_line") >= min_chars).select("_lh", F.explode(halves(F.col("_line"))).alias("_k"))
+    live = shared.groupBy("_k").agg(F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").select("_k")
+    suspect = cut(shared.join(live, "_k", "left_semi").select("_lh").distinct())
     exact = lines.groupBy("_lh", "_lc").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    asked = exact.join(suspect.withColumn("_asked", F.lit(True)), "_lh", "left").withColumn("_asked", F.col("_asked").isNotNull())
+    return cut(asked.where((F.col("_copies") > 1) | F.col("_asked")))
 
-    long_lines = lines.where(F.length("_line") >= min_chars)
-    shared = long_lines.select("_lh", F.explode(halves(F.col("_line"))).alias("_k"))
-    live = shared.groupBy("_k").agg(F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").select("_k")
-    suspect = shared.join(live, "_k", "left_semi").select("_lh").distinct()
-    where = exact.join(suspect, "_lh").select(F.col("_first._dk").alias("_dk"), F.struct(F.col("_first._n").alias("n"), F.col("_lh").alias("lh"), F.col("_lc").alias("lc")).alias("_s"))
-    asked = where.groupBy("_dk").agg(F.collect_set("_s").alias("_s"))
-    found = keyed.join(asked, "_dk").select("_id", "_dk", F.split("_text", "\n", -1).alias("_lines"), F.explode("_s").alias("_s"))
-    texts = found.select(F.struct("_id", "_dk", F.col("_s.n").alias("_n")).alias("_pos"), F.col("_s.lh").alias("_lh"), F.col("_s.lc").alias("_lc"), F.get("_lines", F.col("_s.n")).alias("_line"))
 
-    rows = variants(texts)
+def neighbours(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """(_lh, _lc, _near) of the lines that have a neighbour before them."""
+    places = found.where("_asked").select(F.col("_first._dk").alias("_dk"), F.struct(F.col("_first._n").alias("n"), F.col("_lh").alias("lh"), F.col("_lc").alias("lc")).alias("_s"))
+    asked = places.groupBy("_dk").agg(F.collect_set("_s").alias("_s"))
+    rows = keyed.join(asked, "_dk").select("_id", "_dk", F.split("_text", "\n", -1).alias("_lines"), F.explode("_s").alias("_s"))
+    texts = cut(rows.select(F.struct("_id", "_dk", F.col("_s.n").alias("_n")).alias("_pos"), F.col("_s.lh").alias("_lh"), F.col("_s.lc").alias("_lc"), F.get("_lines", F.col("_s.n")).alias("_line")).dropDuplicates(["_lh", "_lc"]))
+
+    emitted = variants(texts)
     least = {role: F.min(F.when(F.col("_role") == role, F.struct("_pos", "_lh"))) for role in (0, 1, 2)}
-    hubs = rows.groupBy("_key").agg(*(c.alias(f"_r{role}") for role, c in least.items()), F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").drop("_a", "_b")
+    hubs = emitted.groupBy("_key").agg(*(c.alias(f"_r{role}") for role, c in least.items()), F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").drop("_a", "_b")
     hub = F.when(F.col("_role") == 0, F.col("_r0")).when(F.col("_role") == 1, F.col("_r2")).otherwise(F.col("_r1"))
-    pairs = rows.join(hubs, "_key").withColumn("_hub", hub).where(F.col("_hub").isNotNull() & (F.col("_hub._pos") < F.col("_pos")))
+    pairs = emitted.join(hubs, "_key").withColumn("_hub", hub).where(F.col("_hub").isNotNull() & (F.col("_hub._pos") < F.col("_pos")))
     pairs = pairs.select("_lh", F.col("_hub._lh").alias("_to")).where("_lh != _to").distinct()
-    named = texts.select("_lh", "_lc", "_line")
     other = texts.select(F.col("_lh").alias("_to"), F.col("_line").alias("_other"))
-    near = pairs.join(named, "_lh").join(other, "_to").where(F.levenshtein("_line", "_other", 1) >= 0).select("_lh", "_lc").distinct().withColumn("_near", F.lit(True))
+    met = pairs.join(texts.select("_lh", "_lc", "_line"), "_lh").join(other, "_to")
+    return cut(met.where(F.levenshtein("_line", "_other", 1) >= 0).select("_lh", "_lc").distinct().withColumn("_near", F.lit(True)))
+
 
-    decided = exact.join(near, ["_lh", "_lc"], "left").where((F.col("_copies") > 1) | F.col("_near").isNotNull())
+def removals(keyed: DataFrame, min_chars: int) -> DataFrame:
+    """(_dk, _gone, _near): the numbers of the lines that go, for each document that loses some."""
+    lines = line_table(keyed)
+    found = candidates(lines, min_chars)
+    near = neighbours(keyed, found)
+    decided = found.join(near, ["_lh", "_lc"], "left").where((F.col("_copies") > 1) | F.col("_near").isNotNull())
     decided = decided.select("_lh", "_lc", "_first", F.coalesce("_near", F.lit(False)).alias("_near"))
     gone = lines.select("_lh", "_lc", "_pos").join(decided, ["_lh", "_lc"]).where(F.col("_near") | (F.col("_pos") != F.col("_first")))
     return gone.groupBy(F.col("_pos._dk").alias("_dk")).agg(F.collect_set("_pos._n").alias("_gone"), F.collect_set(F.when(F.col("_near"), F.col("_pos._n"))).alias("_near"))
@@ -145,7 +154,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     own = [c for c in docs.columns if c not in (id_col, text_col, "lines", "lines_gone", "lines_near")]
     held = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *(F.col(c).alias(f"_own_{c}") for c in own))
-    keyed = held.withColumn("_dk", F.xxhash64("_id", "_text")).repartition("_dk")
+    keyed = held.withColumn("_dk", F.xxhash64("_id", "_text"))
     gone = removals(keyed.select("_id", "_dk", "_text"), min_chars)
     lines = F.split("_text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
