@@ -4,10 +4,10 @@ A line goes if an equal line, or one within one edit (a code point inserted,
 deleted or replaced), comes earlier in the corpus; the earliest stays. Order is
 by document id (null first), then a hash of the document, then line number.
 
-Lines that can have a neighbour at all are found first: of two lines one edit
-apart, either the beginnings or the ends of fixed length are equal, so a line
-whose beginning and end no other line shares needs no variants. The others emit
-every variant with one deletion as a hashed key. A deletion joined with its
+Lines that can have a neighbour at all are found first: cut into pieces, two
+lines one edit apart are equal but for one piece, so a line that shares its rest
+with no other needs no variants; halves sort out most lines, and smaller pieces
+most of those that are left. The others emit every variant with one deletion as a hashed key. A deletion joined with its
 place meets the lines that differ by a replacement there, a deletion without
 its place meets the whole lines that lack that code point, so that every line
 finds the earliest of its neighbours by one aggregate for each key: no pairs
@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from dqengine.llm.common import cut, map_batches, text_or_empty
 
+#: Pieces of the second, finer look for lines that can have a neighbour.
+PIECES = 16
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = np.ones(1, np.uint64)
@@ -65,16 +68,28 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed(deleted + mixed(places + np.uint64(1))), np.unique(deleted), mixed(sums[-1:] ^ size[1])
 
 
-def halves(line: Column) -> Column:
-    """Keys of which two lines one edit apart share at least one: beginning and end for this length and one less."""
-
-    def of(size: Column) -> tuple[Column, Column]:
-        first = F.floor(size / 2).cast("int")
-        head = F.xxhash64(size, F.lit(0), F.substring(line, F.lit(1), first))
-        tail = F.xxhash64(size, F.lit(1), F.substring(line, F.length(line) - (size - first) + 1, size - first))
-        return head, tail
+def holes(line: Column, parts: int) -> Column:
+    """Keys of which two lines one edit apart share at least one.
 
-    return F.array(*of(F.length(line)), *of(F.length(line) - 1))
+    For this length and for one less, the line without one of `parts` pieces:
+    its beginning up to the piece and its end behind it, at fixed lengths. An
+    edit lies in one piece, and the rest of both lines is equal.
+    """
+    keys = []
+    for size in (F.length(line), F.length(line) - 1):
+        bounds = [F.floor(size * i / parts).cast("int") for i in range(parts + 1)]
+        for j in range(parts):
+            behind = size - bounds[j + 1]
+            tail = F.substring(line, F.length(line) - behind + 1, behind)
+            keys.append(F.xxhash64(size, F.lit(j), F.substring(line, F.lit(1), bounds[j]), tail))
+    return F.array(*keys)
+
+
+def with_company(lines: DataFrame, parts: int) -> DataFrame:
+    """(_lh): lines that share a key of holes() with a different line."""
+    shared = lines.select("_lh", F.explode(holes(F.col("_line"), parts)).alias("_k"))
+    live = shared.groupBy("_k").agg(F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").select("_k")
+    return shared.join(live, "_k", "left_semi").select("_lh").distinct()
 
 
 def line_table(keyed: DataFrame) -> DataFrame:
@@ -110,9 +125,7 @@ def variants(suspects: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame, min_chars: int) -> DataFrame:
     """(_lh, _lc, _first, _copies, _asked): lines that occur again, and those that may have a neighbour (_asked)."""
-    shared = lines.where(F.length("_line") >= min_chars).select("_lh", F.explode(halves(F.col("_line"))).alias("_k"))
-    live = shared.groupBy("_k").agg(F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").select("_k")
-    suspect = cut(shared.join(live, "_k", "left_semi").select("_lh").distinct())
+    suspect = cut(with_company(lines.where(F.length("_line") >= min_chars), 2))
     exact = lines.groupBy("_lh", "_lc").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_copies"))
     asked = exact.join(suspect.withColumn("_asked", F.lit(True)), "_lh", "left").withColumn("_asked", F.col("_asked").isNotNull())
     return cut(asked.where((F.col("_copies") > 1) | F.col("_asked")))
@@ -125,6 +138,7 @@ def neighbours(keyed: DataFrame, found: DataFrame) -> DataFrame:
     rows = keyed.join(asked, "_dk").select("_id", "_dk", F.split("_text", "\n", -1).alias("_lines"), F.explode("_s").alias("_s"))
     texts = cut(rows.select(F.struct("_id", "_dk", F.col("_s.n").alias("_n")).alias("_pos"), F.col("_s.lh").alias("_lh"), F.col("_s.lc").alias("_lc"), F.get("_lines", F.col("_s.n")).alias("_line")).dropDuplicates(["_lh", "_lc"]))
 
+    texts = cut(texts.join(with_company(texts, PIECES), "_lh", "left_semi"))
     emitted = variants(texts)
     least = {role: F.min(F.when(F.col("_role") == role, F.struct("_pos", "_lh"))) for role in (0, 1, 2)}
     hubs = emitted.groupBy("_key").agg(*(c.alias(f"_r{role}") for role, c in least.items()), F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").drop("_a", "_b")
