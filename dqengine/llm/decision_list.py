@@ -184,7 +184,17 @@ def prune(rule: Rule, x: np.ndarray, bad: np.ndarray, names: list[str]) -> Rule:
         return (p - n) / (p + n) if p + n else -1.0
 
     best = max(range(1, len(rule) + 1), key=lambda k: (worth(rule[:k]), -k), default=0)
-    return rule[:best]
+    return tightest(rule[:best])
+
+
+def tightest(rule: Rule) -> Rule:
+    """The same rule with one threshold for each side of a statistic."""
+    kept: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        other = kept.get((c.feature, c.at_least))
+        if other is None or (c.threshold > other.threshold) == c.at_least:
+            kept[c.feature, c.at_least] = c
+    return tuple(kept.values())
 
 
 @dataclass
