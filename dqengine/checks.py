@@ -292,8 +292,11 @@ class Check(CamelCase):
     def is_greater_than_or_equal_to(self, a: str, b: str, assertion: Test = IS_ONE, hint: str | None = None) -> Check:
         return self._compare(a, ">=", "greater than or equal to", b, assertion, hint)
 
-    def is_contained_in(self, column: str, allowed: Sequence[Any], assertion: Test = IS_ONE, hint: str | None = None, analyzer_options: AnalyzerOptions | None = None) -> Check:
-        """Nulls are allowed."""
+    def is_contained_in(self, column: str, allowed: Sequence[Any] | float, assertion: Test | float = IS_ONE, *more: Any, hint: str | None = None, analyzer_options: AnalyzerOptions | None = None) -> Check:
+        """In a list of values, or, given two numbers, between them (see is_contained_in_range). Nulls are allowed."""
+        if isinstance(allowed, (int, float)):
+            return self.is_contained_in_range(column, allowed, assertion, *more, hint=hint)
+        hint = more[0] if more else hint
         values = ",".join(sql_text(v) for v in allowed)
         predicate = f"{quote(column)} IS NULL OR {quote(column)} IN ({values})"
         return self.satisfies(predicate, f"{column} contained in {','.join(map(str, allowed))}", assertion, hint, (column,), analyzer_options)

@@ -315,6 +315,22 @@ def run_on_aggregated_states(schema_of: DataFrame, analyzers: Iterable[Analyzer]
     return context
 
 
+@dataclass
+class Analysis:
+    """A list of analyzers to run on any data."""
+
+    analyzers: list[Analyzer] = field(default_factory=list)
+
+    def add_analyzer(self, analyzer: Analyzer) -> Analysis:
+        return Analysis([*self.analyzers, analyzer])
+
+    def add_analyzers(self, analyzers: Iterable[Analyzer]) -> Analysis:
+        return Analysis([*self.analyzers, *analyzers])
+
+    def run(self, df: DataFrame, **options: Any) -> AnalyzerContext:
+        return run_analyzers(df, self.analyzers, **options)
+
+
 class AnalysisRun:
     """Builder: AnalysisRun(df).add_analyzer(Size()).run()."""
 
@@ -350,6 +366,10 @@ class AnalysisRun:
         self._options["save_states_with"] = store
         return self
 
+    def use_spark_session(self, spark: SparkSession) -> AnalysisRun:
+        """The data's session is used in any case."""
+        return self
+
     def save_success_metrics_json_to_path(self, path: str, overwrite: bool = False) -> AnalysisRun:
         self._files = {"path": path, "overwrite": overwrite}
         return self

@@ -243,6 +243,10 @@ class ColumnProfilerRun(CamelCase):
     def save_or_append_result(self, key: Any) -> ColumnProfilerRun:
         return self._set(save_key=key)
 
+    def use_spark_session(self, spark: Any) -> ColumnProfilerRun:
+        """The data's session is used in any case."""
+        return self
+
     def save_column_profiles_json_to_path(self, path: str, overwrite: bool = False) -> ColumnProfilerRun:
         self._json = (path, overwrite)
         return self

@@ -149,6 +149,10 @@ class VerificationRun(CamelCase):
         check = Check(config.level, config.description)
         return self.add_check(check.is_newest_point_non_anomalous(self._options["repository"], strategy, analyzer, config.with_tag_values, config.after_date, config.before_date))
 
+    def use_spark_session(self, spark: SparkSession) -> VerificationRun:
+        """The data's session is used in any case."""
+        return self
+
     def save_check_results_json_to_path(self, path: str, overwrite: bool = False) -> VerificationRun:
         self._files["checks"] = (path, overwrite)
         return self

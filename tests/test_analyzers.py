@@ -6,7 +6,7 @@ from dqengine import errors
 from dqengine import operators as O
 from dqengine.operators.base import AnalyzerOptions, NullBehavior
 from dqengine.operators.scan import Patterns
-from dqengine.plans.runner import AnalysisRunner, run_analyzers
+from dqengine.plans.runner import Analysis, AnalysisRunner, run_analyzers
 from tests import fixtures as X
 
 GOLDEN = [
@@ -189,6 +189,10 @@ def test_special(spark):
     assert [(m.name, m.value) for m in share.calculate(df).flatten()] == [("mine.a", 0.25), ("mine.b", 0.75)]
 
 
+def test_analysis(spark):
+    assert Analysis().add_analyzer(O.Size()).add_analyzers([O.Mean("att1")]).run(X.numeric(spark))[O.Mean("att1")].get() == 3.5
+
+
 def test_context_frames(spark):
     context = AnalysisRunner.on_data(X.numeric(spark)).add_analyzer(O.Size("att1 > 3")).add_analyzer(O.ApproxQuantiles("att1", (0.1, 0.9))).add_analyzer(O.Mean("nope")).run()
     rows = context.success_metrics_as_dataframe(spark).collect()

@@ -23,7 +23,7 @@ def test_every_method_that_holds(spark):
     ok = [
         (n, check().has_size(Is("==", 6)).has_column_count(lambda v: v == 5).has_column("att1").has_zeros_count("att2", Is("==", 3)).has_min("att1", Is("==", 1.0)).has_max("att1", Is("==", 6.0)).has_range("att1", Is("==", 5.0)).has_mean("att1", Is("==", 3.5)).has_sum("att1", Is("==", 21.0))),
         (n, check().has_standard_deviation("att1", Is("within", (1.7, 1.71))).has_variance("att1", Is("<", 3)).has_skewness("att1", Is("==", 0.0)).has_kurtosis("att1", Is("<", -1.2)).has_interquartile_range("att1", Is("==", 2.5)).has_approx_quantile("att1", 0.5, Is("==", 3.0)).has_exact_quantile("att1", 0.5, Is("==", 3.5)).has_correlation("att1", "att2", Is(">", 0.8)).has_approx_count_distinct("att1", Is("==", 6.0)).has_ratio_of_sums("att1", "att2", Is(">", 1))),
-        (n, check().is_non_negative("att1").is_positive("att1").is_less_than("att2", "att1", Is(">=", 0.5)).is_greater_than_or_equal_to("att2", "att3").is_less_than_or_equal_to("att3", "att2").is_greater_than("att1", "att3", Is(">=", 0.5)).is_contained_in_range("att1", 0, 6).is_contained_in("att1", list(range(1, 7))).is_non_negative("attNull")),
+        (n, check().is_non_negative("att1").is_positive("att1").is_less_than("att2", "att1", Is(">=", 0.5)).is_greater_than_or_equal_to("att2", "att3").is_less_than_or_equal_to("att3", "att2").is_greater_than("att1", "att3", Is(">=", 0.5)).is_contained_in_range("att1", 0, 6).is_contained_in("att1", 0, 7, False, False).is_contained_in("att1", list(range(1, 7)), Is(">=", 0.9), "hint").is_non_negative("attNull")),
         (f, check().is_complete("att1").are_complete(["att1", "att2"]).are_any_complete(["att1", "att2"]).has_entropy("att1", Is(">", 0.5)).has_mutual_information("att1", "att2", Is(">", 0.5)).has_distinctness("att1", Is("==", 0.5)).has_number_of_distinct_values("att1", Is("==", 2)).has_histogram_values("att1", lambda d: d["a"].absolute == 3)),
         (i, check().has_completeness("att2", Is(">", 0.6)).have_completeness(["att1", "att2"], Is(">", 0.6)).have_any_completeness(["att1", "att2"], Is("==", 1.0)).is_contained_in("att2", ["f", "d"]).has_pattern("att1", "^[ab]$").satisfies("att1 in ('a', 'b')", "rule").has_min_length("att1", Is("==", 1.0)).has_max_length("att1", Is("==", 1.0)).has_data_type("item", T.INTEGRAL).has_data_type("att2", T.NULL, Is("<", 0.4)).has_data_type("item", T.NUMERIC)),
         (u, check().is_unique("uniq").are_unique(["uniq", "nonUnique"]).is_primary_key("uniq").has_uniqueness("halfUnique", Is("==", 0.5)).has_unique_value_ratio("nonUnique", Is("==", 0.75)).has_duplicate_row_count(["nonUnique"], Is("==", 3))),
