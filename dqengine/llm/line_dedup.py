@@ -156,7 +156,8 @@ def removals(keyed: DataFrame, min_chars: int) -> DataFrame:
     found = candidates(lines, min_chars)
     near = neighbours(keyed, found)
     decided = found.join(near, ["_lh", "_lc"], "left").where((F.col("_copies") > 1) | F.col("_near").isNotNull())
-    decided = decided.select("_lh", "_lc", "_first", F.coalesce("_near", F.lit(False)).alias("_near"))
+    # cut: the join with all lines then has a shuffle of its own on either side, and Spark can split a line's many copies
+    decided = cut(decided.select("_lh", "_lc", "_first", F.coalesce("_near", F.lit(False)).alias("_near")))
     gone = lines.select("_lh", "_lc", "_pos").join(decided, ["_lh", "_lc"]).where(F.col("_near") | (F.col("_pos") != F.col("_first")))
     return gone.groupBy(F.col("_pos._dk").alias("_dk")).agg(F.collect_set("_pos._n").alias("_gone"), F.collect_set(F.when(F.col("_near"), F.col("_pos._n"))).alias("_near"))
 
