@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,6 +44,11 @@ def word_features(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k))
 
 
+def bag(words: list[str]) -> Counter:
+    """How many different words of a text have each feature."""
+    return Counter(f for w in sorted(set(words)) for f in word_features(w))
+
+
 @dataclass
 class ToxicityModel:
     bias: float
@@ -88,11 +93,10 @@ def fit(texts: list[str], labels: list[int], *, max_features: int = 4000, min_co
     if pos in (0.0, float(n)):
         share = (pos + 1) / (n + 2)
         return ToxicityModel(math.log(share / (1 - share)))
-    words = [sorted(set(WORD.findall(t.lower()))) for t in texts]
-    counts = [Counter(f for w in ws for f in word_features(w)) for ws in words]
+    # features are counted text by text, and again once the few that matter are known: all at once they are many
     of_pos, of_neg = Counter(), Counter()
-    for c, label in zip(counts, labels, strict=True):
-        (of_pos if label else of_neg).update(c.keys())
+    for t, label in zip(texts, labels, strict=True):
+        (of_pos if label else of_neg).update(bag(WORD.findall(t.lower())).keys())
     neg = n - pos
 
     def evidence(f: str) -> float:
@@ -101,8 +105,9 @@ def fit(texts: list[str], labels: list[int], *, max_features: int = 4000, min_co
 
     known = sorted((f for f in of_pos.keys() | of_neg.keys() if of_pos[f] + of_neg[f] >= min_count), key=lambda f: (-evidence(f), f))[:max_features]
     index = {f: i for i, f in enumerate(known)}
+    del of_pos, of_neg
 
-    def sparse(rows: list[Counter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sparse(rows: Iterable[Counter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         r, c, v = [], [], []
         for i, counter in enumerate(rows):
             for f, k in counter.items():
@@ -112,9 +117,14 @@ def fit(texts: list[str], labels: list[int], *, max_features: int = 4000, min_co
                     v.append(k)
         return np.array(r, int), np.array(c, int), np.array(v, float)
 
-    swapped = [(i, Counter(f for w in sorted(set(alt)) for f in word_features(w))) for i, t in enumerate(texts) for alt in counterfactuals(WORD.findall(t.lower()), swaps)]
-    changes = [Counter({f: d for f in counts[i].keys() | c.keys() if (d := c[f] - counts[i][f])}) for i, c in swapped]
-    (r, c, v), (cr, cc, cv) = sparse(counts), sparse(changes)
+    changes = []
+    for t in texts:
+        listed = WORD.findall(t.lower())
+        if alternatives := counterfactuals(listed, swaps):
+            own = bag(listed)
+            for c in map(bag, alternatives):
+                changes.append(Counter({f: d for f in sorted(own.keys() | c.keys()) if f in index and (d := c[f] - own[f])}))
+    (r, c, v), (cr, cc, cv) = sparse(bag(WORD.findall(t.lower())) for t in texts), sparse(changes)
     dims, m = len(known), max(1, len(changes))
     w, b = np.zeros(dims), math.log(pos / neg)
     gw, gb = np.full(dims, 1e-8), 1e-8  # adaptive steps: one sum of squared gradients for each weight
