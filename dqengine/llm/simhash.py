@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from dqengine.llm.common import cut, map_batches
 from dqengine.llm.components import connected_components
+from dqengine.llm.near_copies import near_copies
 
 #: Shingles hashed at a time, so that very long texts need bounded memory.
 SHINGLES_AT_ONCE = 1 << 16
@@ -163,13 +164,18 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_distance: int = 4, shared: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_distance: int = 4, shared: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of docs without near copies: one document of each component stays, the one with the smallest id.
 
-    A row with a null id stays only where its component has no id at all; rows
-    that repeat an id are kept or dropped together.
+    With a similarity, components are those of near_copies: exact Jaccard
+    similarity of n-word shingles, not bits of fingerprints. A row with a null
+    id stays only where its component has no id at all; rows that repeat an id
+    are kept or dropped together.
     """
-    placed = near_duplicates(docs, id_col=id_col, text_col=text_col, n=n, max_distance=max_distance, shared=shared)
+    if similarity is None:
+        placed = near_duplicates(docs, id_col=id_col, text_col=text_col, n=n, max_distance=max_distance, shared=shared)
+    else:
+        placed = near_copies(docs, id_col=id_col, text_col=text_col, n=n, similarity=similarity)
     gone = placed.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     without_id = docs.where(F.col(id_col).isNull())
     return docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti").unionByName(without_id)

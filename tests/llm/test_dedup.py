@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dqengine.llm import chaining, line_dedup, simhash, suffix_groups
+from dqengine.llm import chaining, line_dedup, near_copies, simhash, suffix_groups
 from dqengine.llm.components import connected_components
 from tests.llm.common import SCHEMA, WORD, edge_cases, empty, find_components, words
 
@@ -92,6 +92,34 @@ def test_simhash_edge_cases(spark):
     assert kept.columns == edge_cases(spark).columns and kept.where("doc_id = 2").count() == 1 and kept.where("doc_id in (3, 4)").count() == 0
 
 
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_near_copies_by_brute_force(spark, tile):
+    r = random.Random(4)
+    texts = [None, "", "a b", "A  b"]
+    for _ in range(12):
+        base = words(r, r.choice([40, 150, 300]))
+        for _ in range(r.randint(1, 9)):
+            copy = list(base)
+            for _ in range(r.randint(0, len(base) // 40)):
+                copy[r.randrange(len(copy))] = f"w{r.randrange(99)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = find_components(len(texts), close)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    found = {x.doc_id: x.component_id for x in near_copies.near_copies(spark.createDataFrame(rows, SCHEMA), tile=tile).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+    far = sum(bin(slow_fingerprint(texts[i], 5) ^ slow_fingerprint(texts[j], 5)).count("1") > 4 for i, j in close)
+    assert far > 20  # most lie beyond four bits
+    kept = sorted(x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, SCHEMA), similarity=0.8).collect())
+    assert kept == sorted(set(want))
+
+
+def test_near_copy_edge_cases(spark):
+    assert near_copies.near_copies(edge_cases(spark)).count() == 12
+    assert near_copies.near_copies(empty(spark)).count() == 0
+
+
 # lines
 
 
