@@ -288,6 +288,20 @@ def test_passages_are_found_and_only_they(spark):
             assert min(len(a), len(b)) >= 40 and chaining.edit_distance(a, b) <= (1 - x.similarity) * max(len(a), len(b)) + 1e-9
 
 
+def linked(spark, docs):
+    found = chaining.passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    return [(x.doc_id, x.start, x.end, x.other_id, x.other_start, x.other_end) for x in found]
+
+
+def test_passage_of_two_crowded_runs(spark):
+    r = random.Random(6)
+    halves = [words(r, 30), words(r, 30)]
+    docs = [words(r, 40) + halves[i % 2] + words(r, 40) for i in range(60)]
+    for d in (23, 41):
+        docs[d] = words(r, 40) + halves[0] + halves[1] + words(r, 40)
+    assert {frozenset((x[0], x[3])) for x in linked(spark, docs)} == {frozenset((23, 41))}
+
+
 def test_passage_edge_cases(spark):
     long = " ".join(words(random.Random(9), 60))
     found = [(x.doc_id, x.other_id) for x in chaining.passages(edge_cases(spark, long)).collect()]
