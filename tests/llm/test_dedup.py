@@ -302,6 +302,19 @@ def test_passage_of_two_crowded_runs(spark):
     assert {frozenset((x[0], x[3])) for x in linked(spark, docs)} == {frozenset((23, 41))}
 
 
+def test_passages_edited_in_a_sixth_of_their_words(spark):
+    r = random.Random(7)
+    docs = []
+    for _ in range(60):
+        p = words(r, 60)
+        q = list(p)
+        for at in r.sample(range(3, 57), 9):  # similarity 0.85
+            q[at] = "edited"
+        docs += [words(r, 30) + p + words(r, 30), words(r, 30) + q + words(r, 30)]
+    pairs = {frozenset((x[0], x[3])) for x in linked(spark, docs)}
+    assert len(pairs & {frozenset((2 * i, 2 * i + 1)) for i in range(60)}) >= 57
+
+
 def test_passage_edge_cases(spark):
     long = " ".join(words(random.Random(9), 60))
     found = [(x.doc_id, x.other_id) for x in chaining.passages(edge_cases(spark, long)).collect()]
