@@ -315,6 +315,24 @@ def test_passages_edited_in_a_sixth_of_their_words(spark):
     assert len(pairs & {frozenset((2 * i, 2 * i + 1)) for i in range(60)}) >= 57
 
 
+def test_passages_of_one_repeated_line_or_word(spark):
+    r = random.Random(8)
+    line = words(r, 10)
+    docs = [words(r, 30) + line * 6 + words(r, 30) for _ in range(3)] + [words(r, 30) + ["w"] * 60 + words(r, 30) for _ in range(3)]
+    ids = find_components(6, [(x[0], x[3]) for x in linked(spark, docs)])
+    assert ids == [0, 0, 0, 3, 3, 3]
+
+
+def test_passages_that_come_again_in_their_text(spark):
+    r = random.Random(9)
+    p = words(r, 60)
+    docs = [words(r, 30) + p + words(r, 30) + p + words(r, 30), words(r, 90), words(r, 20) + p * 3]
+    found = linked(spark, docs)
+    assert (0, 120, 180, 0, 30, 90) in found
+    assert {(2, 80, 140, 2, 20, 80), (2, 140, 200, 2, 80, 140)} <= set(found)
+    assert any({x[0], x[3]} == {0, 2} for x in found) and not any(1 in (x[0], x[3]) for x in found)
+
+
 def test_passage_edge_cases(spark):
     long = " ".join(words(random.Random(9), 60))
     found = [(x.doc_id, x.other_id) for x in chaining.passages(edge_cases(spark, long)).collect()]
