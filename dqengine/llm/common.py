@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python: whole documents, so few at a time.
@@ -74,16 +74,18 @@ def id_remainder(id_col: str, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, keep: Column, per_class: int, max_chars: int) -> tuple[list[str], list[int]]:
-    """At most per_class labelled texts of each class, each cut to max_chars: the bound of what is learnt from.
+    """At most per_class labelled texts of each class, whole, with max_chars in all at most: the bound of what is learnt from.
 
-    Chosen by the hash of the id, so reruns agree. Rows with a null id, label or
+    Chosen by the hash of the id, so reruns agree; a text that would go beyond
+    max_chars and those after it are not learnt from. Rows with a null id, label or
     text are left out; an id labelled twice counts once (its largest label).
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).where(keep)
     ids = ids.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     picked = [ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])  # at most 2 * per_class ids
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col).cast("string"), 1, max_chars).alias("_t"))
-    rows = texts.join(F.broadcast(chosen), "_id").where(F.col("_t").isNotNull()).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    so_far = F.sum(F.length("_t")).over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_t")))
+    rows = texts.join(F.broadcast(chosen), "_id").where(F.col("_t").isNotNull()).withColumn("_n", so_far).where(F.col("_n") <= max_chars).select("_id", "_t", "_y").collect()
     rows.sort(key=lambda r: (str(r["_id"]), r["_t"]))
     return [r["_t"] for r in rows], [r["_y"] for r in rows]

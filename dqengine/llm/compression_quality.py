@@ -117,8 +117,8 @@ def fit(texts: list[str], labels: list[int], *, size: int = 65_536, level: int =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2500, max_chars: int = 16_384, **options) -> CompressionModel:
-    """Fit on at most per_class labelled texts of each class for which keep holds, each cut to max_chars."""
+def train(docs: DataFrame, labels: DataFrame, keep: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2500, max_chars: int = 40_960_000, **options) -> CompressionModel:
+    """Fit on at most per_class labelled texts of each class for which keep holds, whole, with at most max_chars characters a class."""
     return fit(*labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, keep=keep, per_class=per_class, max_chars=max_chars), **options)
 
 

@@ -162,6 +162,6 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out:
     return map_batches(docs, run, f"{schema}{', ' if schema else ''}`{out}` double")
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000, max_chars: int = 20_000, **options) -> ToxicityModel:
-    """Fit on at most per_class labelled texts of each class for which keep holds, each cut to max_chars."""
+def train(docs: DataFrame, labels: DataFrame, keep: Column, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000, max_chars: int = 60_000_000, **options) -> ToxicityModel:
+    """Fit on at most per_class labelled texts of each class for which keep holds, whole, with at most max_chars characters a class."""
     return fit(*labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, keep=keep, per_class=per_class, max_chars=max_chars), **options)

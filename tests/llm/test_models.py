@@ -291,6 +291,20 @@ def test_bpe_edge_cases(spark):
     assert (out.n_tokens, out.ids_sha256) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def test_labelled_texts_are_learnt_whole(spark):
+    from dqengine.llm.common import labelled_sample
+
+    texts = {i: f"text {i} " + "plain " * 5000 + ("vile end" if i % 2 else "kind end") for i in range(6)}
+    docs = spark.createDataFrame([*texts.items(), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (*range(6), 9)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True), min_count=1)
+    scores = {x.doc_id: x._s for x in toxicity.score(docs, model, out="_s").collect()}
+    assert min(scores[i] for i in (1, 3, 5)) > max(scores[i] for i in (0, 2, 4))
+    least = min(map(len, texts.values()))
+    few, y = labelled_sample(docs, labels, "toxic", id_col="doc_id", text_col="text", keep=F.lit(True), per_class=5, max_chars=2 * least + 100)
+    assert sorted(y) == [0, 0, 1, 1] and set(few) <= set(texts.values())  # fewer texts, none cut
+
+
 # queries and the pipeline
 
 
