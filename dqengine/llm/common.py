@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,29 +15,62 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python: whole documents, so few at a time.
 ARROW_ROWS = 256
+#: Spark frees the shuffles of a query when it ends, if this holds.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is configured (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local master (tests) gets a temporary folder; a
+    cluster must name one, for its executors don't share local folders.
+    """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    elif configured and sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if not configured:
+            if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            configured = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage there.
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside free their shuffle files as they end; the session's own setting comes back."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
 
-    What earlier steps shuffled and nothing refers to any more is freed first:
-    Spark removes the files of a shuffle when its plan is collected as garbage.
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: the lineage ends there, whatever executors are lost.
+
+    The table is compressed and read by column; the shuffles that made it are
+    freed at once. It goes when the application ends, or by drop(). files: how
+    many files to write, for tables that are known to be small.
     """
-    checkpoint_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    with shuffles_freed(spark):
+        (df if files is None else df.coalesce(files)).write.parquet(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def drop(table: DataFrame | None) -> None:
+    """Delete a table made by cut() that nothing will read any more."""
+    if table is not None and (path := getattr(table, "_table", None)):
+        spark = table.sparkSession
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 _shipped: set[str] = set()
@@ -73,19 +107,37 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % F.lit(modulus)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, keep: Column, per_class: int, max_chars: int) -> tuple[list[str], list[int]]:
-    """At most per_class labelled texts of each class, whole, with max_chars in all at most: the bound of what is learnt from.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, keep: Column, per_class: int) -> DataFrame:
+    """(_id, _t, _y, _share): at most per_class whole labelled texts of each class, the bound of what is learnt from.
 
-    Chosen by the hash of the id, so reruns agree; a text that would go beyond
-    max_chars and those after it are not learnt from. Rows with a null id, label or
-    text are left out; an id labelled twice counts once (its largest label).
+    The bound holds for rows after the join with the documents: an id that many
+    rows repeat counts once for each. Chosen by hashes of ids and texts, so that
+    reruns agree; equal rows are one. _share is the class's share of all
+    labelled ids. Rows with a null id, label or text are left out; an id
+    labelled twice counts once (its largest label).
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).where(keep)
     ids = ids.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    counts = {r["_y"]: r["n"] for r in ids.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])  # at most 2 * per_class ids
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    so_far = F.sum(F.length("_t")).over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_t")))
-    rows = texts.join(F.broadcast(chosen), "_id").where(F.col("_t").isNotNull()).withColumn("_n", so_far).where(F.col("_n") <= max_chars).select("_id", "_t", "_y").collect()
-    rows.sort(key=lambda r: (str(r["_id"]), r["_t"]))
-    return [r["_t"] for r in rows], [r["_y"] for r in rows]
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull())
+    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "_id").withColumn("_o", F.xxhash64("_id", "_t"))  # 2 * per_class ids at most
+    found = cut(found.dropDuplicates(["_id", "_o"]))
+    # numbers alone are ranked, so that an id of very many rows sends no texts anywhere
+    chosen = [found.where(F.col("_y") == y).select("_id", "_o").orderBy("_o", "_id").limit(per_class) for y in (0, 1)]
+    share = F.when(F.col("_y") == 1, F.lit(counts.get(1, 0) / max(1, sum(counts.values())))).otherwise(F.lit(counts.get(0, 0) / max(1, sum(counts.values()))))
+    return found.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["_id", "_o"]).select("_id", "_t", "_y", share.alias("_share"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, keep: Column, per_class: int, max_chars: int) -> tuple[list[str], list[int], float]:
+    """The texts of labelled_rows(), their labels, and the share of label 1 among all labelled rows.
+
+    max_chars bounds the characters of a class in all: a text that would go
+    beyond it and those after it, in the order of their hashes, are not learnt from.
+    """
+    rows = labelled_rows(docs, labels, label, id_col=id_col, text_col=text_col, keep=keep, per_class=per_class)
+    so_far = F.sum(F.length("_t")).over(Window.partitionBy("_y").orderBy(F.xxhash64("_id", "_t"), "_id"))
+    found = rows.withColumn("_n", so_far).where(F.col("_n") <= max_chars).select("_id", "_t", "_y", "_share").collect()
+    found.sort(key=lambda r: (str(r["_id"]), r["_t"]))
+    share = next((r["_share"] if r["_y"] else 1 - r["_share"] for r in found), 0.5)
+    return [r["_t"] for r in found], [r["_y"] for r in found], share

@@ -76,14 +76,14 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, *pairs])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, the first column unpenalised."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0) -> np.ndarray:
+    """Ridge logistic regression of weighted rows by Newton steps, the first column unpenalised."""
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), l2)
     penalty[0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-9)) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x.T * np.maximum(weight * p * (1 - p), 1e-9)) @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -99,10 +99,15 @@ def dictionary(texts: list[bytes], size: int, level: int) -> bytes:
         return b"".join(parts)[-size:] or b" " * 8
 
 
-def fit(texts: list[str], labels: list[int], *, size: int = 65_536, level: int = 3) -> CompressionModel:
-    """Even samples of each class train the dictionaries, odd ones the curve. On the driver; texts are a bounded sample."""
+def fit(texts: list[str], labels: list[int], share: float | None = None, *, size: int = 65_536, level: int = 3) -> CompressionModel:
+    """Even samples of each class train the dictionaries, odd ones the curve. On the driver; texts are a bounded sample.
+
+    share: of label 1 where the sample was drawn from; its rows are weighted to
+    that share, so that a sample balanced by class does not shift the scores.
+    """
     data = [(t.encode("utf-8", "replace"), y) for t, y in zip(texts, labels, strict=True) if t]
-    prior = (sum(labels) + 1) / (len(labels) + 2)
+    own = (sum(labels) + 1) / (len(labels) + 2)
+    prior = own if share is None else min(max(share, 1e-6), 1 - 1e-6)
     of = {y: [t for t, label in data if label == y] for y in (0, 1)}
     if min(map(len, of.values())) < 2:
         return CompressionModel((), np.zeros(4), np.ones(4), np.zeros(15), prior, level)
@@ -111,9 +116,11 @@ def fit(texts: list[str], labels: list[int], *, size: int = 65_536, level: int =
     model = CompressionModel(dictionaries, np.zeros(4), np.ones(4), np.zeros(15), prior, level)
     tools = model.compressors()
     rest = [(t, y) for y, ts in of.items() for t in ts[1::2]]
-    x = np.array([model.raw(t, tools) for t, _ in rest])
+    x, y = np.array([model.raw(t, tools) for t, _ in rest]), np.array([y for _, y in rest], float)
+    of_one = y.mean()
+    weight = np.ones(len(y)) if share is None else np.where(y == 1, prior / of_one, (1 - prior) / (1 - of_one))
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    model.weights = logistic(expand((x - model.mean) / model.scale), np.array([y for _, y in rest], float))
+    model.weights = logistic(expand((x - model.mean) / model.scale), y, weight)
     return model
 
 

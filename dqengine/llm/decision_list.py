@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqengine.llm.common import map_batches
+from dqengine.llm.common import labelled_rows, map_batches
 
 # The symbols that are counted, and the ASCII white space that ends a word.
 SYMBOLS = "#*$%&|<>"
@@ -239,11 +239,9 @@ def learn(x: np.ndarray, good: np.ndarray, names: list[str], *, precision: float
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000, **options) -> DecisionList:
     """Learn from the statistics of at most per_class labelled rows of each class for which keep holds; the numbers alone reach the driver."""
-    ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).where(keep).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-    picked = [ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id")
+    chosen = labelled_rows(docs, labels, label, id_col=id_col, text_col=text_col, keep=keep, per_class=per_class)
     of = features()
-    rows = statistics(chosen, text_col="_text").select(F.xxhash64("_id").alias("_o"), "_y", *(c.alias(n) for n, c in of.items())).collect()
+    rows = statistics(chosen, text_col="_t").select(F.xxhash64("_id").alias("_o"), "_y", *(c.alias(n) for n, c in of.items())).collect()
     rows.sort(key=lambda r: tuple(r))
     names = list(of)
     x = np.array([[r[n] for n in names] for r in rows], float).reshape(-1, len(names))

@@ -1,21 +1,25 @@
 """Line deduplication by a deletion-neighbourhood join (edit bound 1).
 
 A line goes if an equal line, or one within one edit (a code point inserted,
-deleted or replaced), comes earlier in the corpus; the earliest stays. Order is
-by document id (null first), then a hash of the document, then line number.
+deleted or replaced), comes earlier in the corpus; the earliest stays. The
+earlier line itself may go for a still earlier one, so of lines that lead to
+each other edit by edit the first alone stays. Order is by document id (null
+first), then a hash of the document, then line number. Two lines are
+neighbours if the longer has `min_chars` code points or more; below that length
+only equal lines count, for one edit of a short line makes another line of it.
 
 Lines that can have a neighbour at all are found first: cut into pieces, two
 lines one edit apart are equal but for one piece, so a line that shares its rest
-with no other needs no variants; halves sort out most lines, and smaller pieces
-most of those that are left. The others emit every variant with one deletion as a hashed key. A deletion joined with its
+with no other needs no variants; beginnings and ends sort out most lines, and
+smaller pieces most of those that are left. The others emit every variant with one deletion as a hashed key. A deletion joined with its
 place meets the lines that differ by a replacement there, a deletion without
 its place meets the whole lines that lack that code point, so that every line
 finds the earliest of its neighbours by one aggregate for each key: no pairs
 within a key are emitted, however many lines share it. Each line and its
 neighbour are then compared by edit distance.
 
-Blank lines always stay, lines shorter than `min_chars` only go when equal.
-Null texts count as empty. Rows that repeat both id and text count as one
+Blank lines always stay. Null texts count as empty, an empty table gives an
+empty table, texts of any length are split whole. Rows that repeat both id and text count as one
 document and come out alike. Documents are told apart by a 64-bit hash of id
 and text, lines by a 64-bit hash and a checksum.
 """
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqengine.llm.common import cut, map_batches, text_or_empty
+from dqengine.llm.common import cut, drop, map_batches, text_or_empty
 
 #: Pieces of the second, finer look for lines that can have a neighbour.
 PIECES = 16
@@ -85,9 +89,23 @@ def holes(line: Column, parts: int) -> Column:
     return F.array(*keys)
 
 
-def with_company(lines: DataFrame, parts: int) -> DataFrame:
-    """(_lh): lines that share a key of holes() with a different line."""
-    shared = lines.select("_lh", F.explode(holes(F.col("_line"), parts)).alias("_k"))
+def halves(line: Column) -> Column:
+    """Few keys of which two lines one edit apart share at least one: a beginning and an end.
+
+    Both are 4 code points for each 8 of the line, so lines of about one length
+    have the same. The first of the lengths that share a size also gives the
+    keys of the size below, where a line with one code point less has its own.
+    """
+    n = F.length(line)
+    size = (F.floor(n / 8) * 4).cast("int")
+    least = F.when(n % 8 == 0, size - 4).otherwise(size)
+    ends = F.transform(F.sequence(least, size, F.lit(4)), lambda k: F.array(F.xxhash64(k, F.substring(line, F.lit(1), k)), F.xxhash64(-k, F.substring(line, n - k + 1, k))))
+    return F.flatten(ends)
+
+
+def with_company(lines: DataFrame, keys: Column) -> DataFrame:
+    """(_lh): lines that share a key with a different line."""
+    shared = lines.select("_lh", F.explode(keys).alias("_k"))
     live = shared.groupBy("_k").agg(F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").select("_k")
     return shared.join(live, "_k", "left_semi").select("_lh").distinct()
 
@@ -123,42 +141,45 @@ def variants(suspects: DataFrame) -> DataFrame:
     return map_batches(suspects.select("_pos", "_lh", "_line"), run, f"_key long, _role byte, _pos {kind}, _lh long")
 
 
-def candidates(lines: DataFrame, min_chars: int) -> DataFrame:
-    """(_lh, _lc, _first, _copies, _asked): lines that occur again, and those that may have a neighbour (_asked)."""
-    suspect = cut(with_company(lines.where(F.length("_line") >= min_chars), 2))
-    exact = lines.groupBy("_lh", "_lc").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    asked = exact.join(suspect.withColumn("_asked", F.lit(True)), "_lh", "left").withColumn("_asked", F.col("_asked").isNotNull())
-    return cut(asked.where((F.col("_copies") > 1) | F.col("_asked")))
+def candidates(lines: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Places (_lh, _lc, _pos) of the lines that occur again or may have a neighbour, and (_lh) of the latter."""
+    suspect = cut(with_company(lines.where(F.length("_line") >= min_chars - 1), halves(F.col("_line"))))
+    again = lines.groupBy("_lh").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_lh")
+    wanted = cut(again.unionByName(suspect).distinct())  # cut: the join with all lines can then split a line's many copies
+    return cut(lines.select("_lh", "_lc", "_pos").join(wanted, "_lh", "left_semi")), suspect
 
 
-def neighbours(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """(_lh, _lc, _near) of the lines that have a neighbour before them."""
-    places = found.where("_asked").select(F.col("_first._dk").alias("_dk"), F.struct(F.col("_first._n").alias("n"), F.col("_lh").alias("lh"), F.col("_lc").alias("lc")).alias("_s"))
-    asked = places.groupBy("_dk").agg(F.collect_set("_s").alias("_s"))
+def neighbours(keyed: DataFrame, asked: DataFrame, min_chars: int) -> DataFrame:
+    """asked (_lh, _lc, _first) -> (_lh, _lc, _near) of the lines that have a neighbour before them."""
+    places = asked.select(F.col("_first._dk").alias("_dk"), F.struct(F.col("_first._n").alias("n"), F.col("_lh").alias("lh"), F.col("_lc").alias("lc")).alias("_s"))
+    asked = places.groupBy("_dk").agg(F.collect_set("_s").alias("_s"))  # one document's lines at most
     rows = keyed.join(asked, "_dk").select("_id", "_dk", F.split("_text", "\n", -1).alias("_lines"), F.explode("_s").alias("_s"))
     texts = cut(rows.select(F.struct("_id", "_dk", F.col("_s.n").alias("_n")).alias("_pos"), F.col("_s.lh").alias("_lh"), F.col("_s.lc").alias("_lc"), F.get("_lines", F.col("_s.n")).alias("_line")).dropDuplicates(["_lh", "_lc"]))
 
-    texts = cut(texts.join(with_company(texts, PIECES), "_lh", "left_semi"))
-    emitted = variants(texts)
+    fewer = cut(texts.join(with_company(texts, holes(F.col("_line"), PIECES)), "_lh", "left_semi"))
+    drop(texts)
+    emitted = variants(fewer)
     least = {role: F.min(F.when(F.col("_role") == role, F.struct("_pos", "_lh"))) for role in (0, 1, 2)}
     hubs = emitted.groupBy("_key").agg(*(c.alias(f"_r{role}") for role, c in least.items()), F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").drop("_a", "_b")
     hub = F.when(F.col("_role") == 0, F.col("_r0")).when(F.col("_role") == 1, F.col("_r2")).otherwise(F.col("_r1"))
     pairs = emitted.join(hubs, "_key").withColumn("_hub", hub).where(F.col("_hub").isNotNull() & (F.col("_hub._pos") < F.col("_pos")))
     pairs = pairs.select("_lh", F.col("_hub._lh").alias("_to")).where("_lh != _to").distinct()
-    other = texts.select(F.col("_lh").alias("_to"), F.col("_line").alias("_other"))
-    met = pairs.join(texts.select("_lh", "_lc", "_line"), "_lh").join(other, "_to")
-    return cut(met.where(F.levenshtein("_line", "_other", 1) >= 0).select("_lh", "_lc").distinct().withColumn("_near", F.lit(True)))
+    other = fewer.select(F.col("_lh").alias("_to"), F.col("_line").alias("_other"))
+    met = pairs.join(fewer.select("_lh", "_lc", "_line"), "_lh").join(other, "_to").where(F.greatest(F.length("_line"), F.length("_other")) >= min_chars)
+    near = cut(met.where(F.levenshtein("_line", "_other", 1) >= 0).select("_lh", "_lc").distinct().withColumn("_near", F.lit(True)))
+    drop(fewer)
+    return near
 
 
 def removals(keyed: DataFrame, min_chars: int) -> DataFrame:
     """(_dk, _gone, _near): the numbers of the lines that go, for each document that loses some."""
-    lines = line_table(keyed)
-    found = candidates(lines, min_chars)
-    near = neighbours(keyed, found)
-    decided = found.join(near, ["_lh", "_lc"], "left").where((F.col("_copies") > 1) | F.col("_near").isNotNull())
-    # cut: the join with all lines then has a shuffle of its own on either side, and Spark can split a line's many copies
+    places, suspect = candidates(line_table(keyed), min_chars)
+    first = cut(places.groupBy("_lh", "_lc").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_copies")))
+    near = neighbours(keyed, first.join(suspect, "_lh", "left_semi"), min_chars)
+    decided = first.join(near, ["_lh", "_lc"], "left").where((F.col("_copies") > 1) | F.col("_near").isNotNull())
+    # cut: the join with all places then has a shuffle of its own on either side, and Spark can split a line's many copies
     decided = cut(decided.select("_lh", "_lc", "_first", F.coalesce("_near", F.lit(False)).alias("_near")))
-    gone = lines.select("_lh", "_lc", "_pos").join(decided, ["_lh", "_lc"]).where(F.col("_near") | (F.col("_pos") != F.col("_first")))
+    gone = places.join(decided, ["_lh", "_lc"]).where(F.col("_near") | (F.col("_pos") != F.col("_first")))
     return gone.groupBy(F.col("_pos._dk").alias("_dk")).agg(F.collect_set("_pos._n").alias("_gone"), F.collect_set(F.when(F.col("_near"), F.col("_pos._n"))).alias("_near"))
 
 

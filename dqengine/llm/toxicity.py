@@ -81,18 +81,21 @@ def counterfactuals(words: list[str], swaps: int) -> list[list[str]]:
     return made
 
 
-def fit(texts: list[str], labels: list[int], *, max_features: int = 4000, min_count: int = 3, l2: float = 1e-3, counterfactual_weight: float = 5.0, swaps: int = 4, rounds: int = 400) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], share: float | None = None, *, max_features: int = 4000, min_count: int = 3, l2: float = 1e-3, counterfactual_weight: float = 5.0, swaps: int = 4, rounds: int = 400) -> ToxicityModel:
     """Fit on the driver; texts are a bounded sample.
 
     The loss is the mean logistic loss, plus l2 times the squared weights, plus
     counterfactual_weight times the mean squared change of the raw score
-    between a text and each of its swapped versions.
+    between a text and each of its swapped versions. share: of label 1 where the
+    sample was drawn from; rows are weighted to it in the logistic loss.
     """
     y = np.array(labels, float)
     n, pos = len(y), float(y.sum())
     if pos in (0.0, float(n)):
-        share = (pos + 1) / (n + 2)
-        return ToxicityModel(math.log(share / (1 - share)))
+        smoothed = (pos + 1) / (n + 2)
+        return ToxicityModel(math.log(smoothed / (1 - smoothed)))
+    true = pos / n if share is None else min(max(share, 1e-6), 1 - 1e-6)
+    weight = np.where(y == 1, true / (pos / n), (1 - true) / (1 - pos / n)) / n
     # features are counted text by text, and again once the few that matter are known: all at once they are many
     of_pos, of_neg = Counter(), Counter()
     for t, label in zip(texts, labels, strict=True):
@@ -126,11 +129,11 @@ def fit(texts: list[str], labels: list[int], *, max_features: int = 4000, min_co
                 changes.append(Counter({f: d for f in sorted(own.keys() | c.keys()) if f in index and (d := c[f] - own[f])}))
     (r, c, v), (cr, cc, cv) = sparse(bag(WORD.findall(t.lower())) for t in texts), sparse(changes)
     dims, m = len(known), max(1, len(changes))
-    w, b = np.zeros(dims), math.log(pos / neg)
+    w, b = np.zeros(dims), math.log(true / (1 - true))
     gw, gb = np.full(dims, 1e-8), 1e-8  # adaptive steps: one sum of squared gradients for each weight
     for _ in range(rounds):
         z = np.bincount(r, v * w[c], n) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         grad = np.bincount(c, v * g[r], dims) + l2 * w
         if len(cr):
             change = np.bincount(cr, cv * w[cc], len(changes))

@@ -137,7 +137,7 @@ def slow_lines(docs, least=20):
         for line in (text or "").split("\n"):
             if line.strip(" \t\n\x0b\x0c\r"):
                 before = seen[: seen.index(line)] if line in seen else seen
-                near = len(line) >= least and any(len(s) >= least and s != line and within_one(s, line) for s in before)
+                near = any(max(len(s), len(line)) >= least and s != line and within_one(s, line) for s in before)
                 again = line in seen
                 seen.append(line)
                 if near or again:
@@ -149,7 +149,7 @@ def slow_lines(docs, least=20):
 
 def test_lines_by_brute_force(spark):
     r = random.Random(5)
-    base = ["".join(r.choice("abcdé ") for _ in range(r.choice([22, 23, 30, 41]))) for _ in range(25)]
+    base = ["".join(r.choice("abcdé ") for _ in range(r.choice([18, 19, 20, 22, 23, 24, 31, 32, 41]))) for _ in range(25)]
 
     def edit(s):
         i = r.randrange(len(s))

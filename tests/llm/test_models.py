@@ -301,7 +301,7 @@ def test_labelled_texts_are_learnt_whole(spark):
     scores = {x.doc_id: x._s for x in toxicity.score(docs, model, out="_s").collect()}
     assert min(scores[i] for i in (1, 3, 5)) > max(scores[i] for i in (0, 2, 4))
     least = min(map(len, texts.values()))
-    few, y = labelled_sample(docs, labels, "toxic", id_col="doc_id", text_col="text", keep=F.lit(True), per_class=5, max_chars=2 * least + 100)
+    few, y, _ = labelled_sample(docs, labels, "toxic", id_col="doc_id", text_col="text", keep=F.lit(True), per_class=5, max_chars=2 * least + 100)
     assert sorted(y) == [0, 0, 1, 1] and set(few) <= set(texts.values())  # fewer texts, none cut
 
 
