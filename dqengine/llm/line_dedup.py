@@ -90,7 +90,7 @@ def holes(line: Column, parts: int) -> Column:
 
 
 def halves(line: Column) -> Column:
-    """Few keys of which two lines one edit apart share at least one: a beginning and an end.
+    """Few keys (four, two of them mostly null) of which two lines one edit apart share at least one: a beginning and an end.
 
     Both are 4 code points for each 8 of the line, so lines of about one length
     have the same. The first of the lengths that share a size also gives the
@@ -98,23 +98,26 @@ def halves(line: Column) -> Column:
     """
     n = F.length(line)
     size = (F.floor(n / 8) * 4).cast("int")
-    least = F.when(n % 8 == 0, size - 4).otherwise(size)
-    ends = F.transform(F.sequence(least, size, F.lit(4)), lambda k: F.array(F.xxhash64(k, F.substring(line, F.lit(1), k)), F.xxhash64(-k, F.substring(line, n - k + 1, k))))
-    return F.flatten(ends)
+
+    def ends(k: Column) -> tuple[Column, Column]:
+        return F.xxhash64(k, F.substring(line, F.lit(1), k)), F.xxhash64(-k, F.substring(line, n - k + 1, k))
+
+    return F.array(*ends(size), *(F.when(n % 8 == 0, key) for key in ends(size - 4)))
 
 
 def with_company(lines: DataFrame, keys: Column) -> DataFrame:
     """(_lh): lines that share a key with a different line."""
-    shared = lines.select("_lh", F.explode(keys).alias("_k"))
+    shared = lines.select("_lh", F.explode(keys).alias("_k")).where(F.col("_k").isNotNull())
     live = shared.groupBy("_k").agg(F.min("_lh").alias("_a"), F.max("_lh").alias("_b")).where("_a != _b").select("_k")
     return shared.join(live, "_k", "left_semi").select("_lh").distinct()
 
 
-def line_table(keyed: DataFrame) -> DataFrame:
-    """One row for each line that is not blank: its hash, checksum, place and text."""
+def line_table(keyed: DataFrame, min_chars: int) -> DataFrame:
+    """One row for each line that is not blank: its hash, checksum, place, and the keys of halves() if it may have neighbours."""
     rows = keyed.select("_id", "_dk", F.posexplode(F.split("_text", "\n", -1)).alias("_n", "_line"))
     rows = rows.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(F.xxhash64("_line").alias("_lh"), F.crc32(F.col("_line")).alias("_lc"), F.struct("_id", "_dk", "_n").alias("_pos"), "_line")
+    keys = F.when(F.length("_line") >= min_chars - 1, halves(F.col("_line")))
+    return cut(rows.select(F.xxhash64("_line").alias("_lh"), F.crc32(F.col("_line")).alias("_lc"), "_id", "_dk", "_n", keys.alias("_keys")))
 
 
 def variants(suspects: DataFrame) -> DataFrame:
@@ -141,12 +144,13 @@ def variants(suspects: DataFrame) -> DataFrame:
     return map_batches(suspects.select("_pos", "_lh", "_line"), run, f"_key long, _role byte, _pos {kind}, _lh long")
 
 
-def candidates(lines: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places (_lh, _lc, _pos) of the lines that occur again or may have a neighbour, and (_lh) of the latter."""
-    suspect = cut(with_company(lines.where(F.length("_line") >= min_chars - 1), halves(F.col("_line"))))
+    suspect = cut(with_company(lines, F.col("_keys")))
     again = lines.groupBy("_lh").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_lh")
     wanted = cut(again.unionByName(suspect).distinct())  # cut: the join with all lines can then split a line's many copies
-    return cut(lines.select("_lh", "_lc", "_pos").join(wanted, "_lh", "left_semi")), suspect
+    places = lines.select("_lh", "_lc", F.struct("_id", "_dk", "_n").alias("_pos")).join(wanted, "_lh", "left_semi")
+    return cut(places), suspect
 
 
 def neighbours(keyed: DataFrame, asked: DataFrame, min_chars: int) -> DataFrame:
@@ -173,7 +177,9 @@ def neighbours(keyed: DataFrame, asked: DataFrame, min_chars: int) -> DataFrame:
 
 def removals(keyed: DataFrame, min_chars: int) -> DataFrame:
     """(_dk, _gone, _near): the numbers of the lines that go, for each document that loses some."""
-    places, suspect = candidates(line_table(keyed), min_chars)
+    lines = line_table(keyed, min_chars)
+    places, suspect = candidates(lines)
+    drop(lines)
     first = cut(places.groupBy("_lh", "_lc").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_copies")))
     near = neighbours(keyed, first.join(suspect, "_lh", "left_semi"), min_chars)
     decided = first.join(near, ["_lh", "_lc"], "left").where((F.col("_copies") > 1) | F.col("_near").isNotNull())
