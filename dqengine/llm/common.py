@@ -97,6 +97,14 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores more as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or any(c.startswith(f"{name.lower()}_") for c in taken):
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str) -> Column:
     """The text column; null counts as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -1,13 +1,18 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-The words of a text give rolling k-grams, each with a 64-bit hash of which 32
-bits are kept. Of every window of consecutive k-grams the smallest hash is
-chosen, the rightmost of equal ones, together with its position. Two texts that
-share a run of `k + window - 1` words share a chosen hash (the match
-guarantee), and no match shorter than k words is seen.
-
-A text of fewer than k words is one k-gram; a text without words has no chosen
-hash. Null texts count as empty.
+A text is taken as tokens: runs of up to 8 characters between ASCII white
+space, so that a long run without blanks is several tokens. Their k-grams have
+rolling polynomial hashes of 31 bits, each made from that of one token less by
+one multiplication and one addition for all places at once. Of every window of
+consecutive k-grams the smallest hash is chosen, the rightmost of equal ones,
+together with its position; minima of windows come from minima of windows of
+half their size. Two texts that share a run of `k + window - 1` tokens share a
+chosen hash (the match guarantee), and no match shorter than k tokens is seen.
+
+A text of fewer than k tokens is one k-gram; a text without tokens, also an
+empty or null one, has no chosen hash. Texts of any length are taken whole.
+Rows that repeat id and text come out once each, an empty table gives an empty
+table. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,131 +21,128 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dqengine.llm.common import text_or_empty
+from dqengine.llm.common import cut, fresh, text_or_empty
 
-#: Words of a k-gram, k-grams of a window.
-K, WINDOW = 5, 8
+#: Tokens of a k-gram, k-grams of a window.
+K, WINDOW = 3, 4
+TOKEN = r"[^\x20\x09-\x0D]{1,8}"
+#: Modulus and base of the rolling hash; products stay within 62 bits.
+MODULUS, BASE = (1 << 31) - 1, 1_000_003_993
 #: Low bits of a packed choice: the position, counted backwards so that the smallest value is the rightmost.
 _POSITION = (1 << 31) - 1
-#: Rows of a range of ids on average, and ranges at most.
-RANGE_ROWS, RANGES = 400, 4096
 
 
-def with_choices(df: DataFrame, text_col: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Adds out (array<long>): the chosen hashes and positions of text_col, packed, in order of position."""
-    words, h, grams = f"{out}_words", f"{out}_h", f"{out}_grams"
-    df = df.withColumn(words, F.split(F.col(text_col), r"[\x20\x09-\x0D]+"))
-    df = df.withColumn(h, F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))).drop(words)
-
-    def gram(x: Column, i: Column) -> Column:
-        whole = F.xxhash64(x, *(F.get(F.col(h), i + j) for j in range(1, k)))
-        kept = F.shiftrightunsigned(whole, 32)
-        return F.shiftleft(kept, 31).bitwiseOR(F.lit(_POSITION).cast("long") - i.cast("long"))
+def _later(values: Column, by: int) -> Column:
+    """The array without its first `by` elements."""
+    return F.slice(values, F.lit(by + 1), F.size(values))
 
-    df = df.withColumn(grams, F.slice(F.transform(h, gram), F.lit(1), F.greatest(F.size(h) - F.lit(k - 1), F.least(F.size(h), F.lit(1))))).drop(h)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(grams) - F.lit(window - 1), F.lit(1)))
-    smallest = F.array_distinct(F.transform(starts, lambda j: F.array_min(F.slice(F.col(grams), j, F.lit(window)))))
-    return df.withColumn(out, F.when(F.size(grams) > 0, smallest).otherwise(F.array().cast("array<long>"))).drop(grams)
 
+def with_choices(df: DataFrame, text_col: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
+    """Adds out (array<long>): the chosen hashes and positions of text_col, packed, in order of position.
 
-def positions(choices: Column) -> Column:
-    """Word positions (from 0) of packed choices."""
-    return F.transform(choices, lambda x: (F.lit(_POSITION).cast("long") - x.bitwiseAND(F.lit(_POSITION).cast("long"))).cast("int"))
+    Helper columns are named after out.
+    """
+    h, g, p, m = (f"{out}_{c}" for c in "hgpm")
+    df = df.withColumn(h, F.transform(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(MODULUS))))
+    grams = F.col(h)
+    for j in range(1, k):  # null where the text has no j-th token more
+        grams = F.zip_with(grams, _later(F.col(h), j), lambda a, b: (a * F.lit(BASE) + b) % F.lit(MODULUS))
+    whole = F.slice(grams, F.lit(1), F.greatest(F.size(h) - F.lit(k - 1), F.lit(1)))
+    short = F.when(F.size(h) > 0, F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, b: (a * F.lit(BASE) + b) % F.lit(MODULUS)))).otherwise(F.array().cast("array<long>"))
+    df = df.withColumn(g, F.when(F.size(h) >= k, whole).otherwise(short)).drop(h)
+    df = df.withColumn(p, F.transform(g, lambda x, i: F.shiftleft(x, 31).bitwiseOR(F.lit(_POSITION).cast("long") - i.cast("long")))).drop(g)
+    span, step = 1, 0
+    while span < window:
+        by = min(span, window - span)
+        df = df.withColumn(f"{m}{step}", F.zip_with(p, _later(F.col(p), by), lambda a, b: F.least(a, b))).drop(p)
+        span, step, p = span + by, step + 1, f"{m}{step}"
+    # what lies beyond the last whole window is of parts of windows
+    return df.withColumn(out, F.array_distinct(F.slice(p, F.lit(1), F.greatest(F.size(p) - F.lit(window - 1), F.lit(1))))).drop(p)
+
+
+def position(choice: Column) -> Column:
+    """Token position (from 0) of a packed choice."""
+    return F.lit(_POSITION).cast("long") - choice.bitwiseAND(F.lit(_POSITION).cast("long"))
 
 
 def hashes(choices: Column) -> Column:
-    """The distinct 32-bit hashes of packed choices."""
+    """The distinct 31-bit hashes of packed choices."""
     return F.array_distinct(F.transform(choices, lambda x: F.shiftrightunsigned(x, 31)))
 
 
 def as_string(choices: Column) -> Column:
-    """hash:position of each choice, the hash as 8 hexadecimal digits, joined by commas."""
-    return F.array_join(F.transform(choices, lambda x: F.concat(F.lower(F.lpad(F.hex(F.shiftrightunsigned(x, 31)), 8, "0")), F.lit(":"), (F.lit(_POSITION).cast("long") - x.bitwiseAND(F.lit(_POSITION).cast("long"))).cast("string"))), ",")
+    """The choices in order, joined by commas: each the hexadecimal number hash * 2**31 + position."""
+    return F.lower(F.array_join(F.transform(choices, lambda x: F.hex(x.bitwiseXOR(F.lit(_POSITION).cast("long")))), ","))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of hashes; 1 if both are empty."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
+    """Jaccard similarity of two arrays of distinct hashes; 1 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", out: str = "fingerprint", k: int = K, window: int = WINDOW) -> DataFrame:
-    """Adds out (array<struct<hash long, position int>>) for each text; other columns stay."""
-    df = with_choices(docs.withColumn("_text", text_or_empty(text_col)), "_text", "_choices", k, window)
-    pairs = F.transform("_choices", lambda x: F.struct(F.shiftrightunsigned(x, 31).alias("hash"), (F.lit(_POSITION).cast("long") - x.bitwiseAND(F.lit(_POSITION).cast("long"))).cast("int").alias("position")))
-    return df.withColumn(out, pairs).drop("_text", "_choices")
+    """Adds out (array<struct<hash long, position int>>) for each text; other columns stay, one named out is replaced."""
+    text, choices = fresh(docs, "_text"), fresh(docs, "_choices")
+    df = with_choices(docs.withColumn(text, text_or_empty(text_col)), text, choices, k, window)
+    pairs = F.transform(choices, lambda x: F.struct(F.shiftrightunsigned(x, 31).alias("hash"), position(x).cast("int").alias("position")))
+    return df.withColumn(out, pairs).drop(text, choices)
 
 
-def in_ranges(docs: DataFrame, id_col: str, rows: int = RANGE_ROWS, most: int = RANGES) -> tuple[Column, int]:
-    """A column that numbers ranges of ids, ascending from 1, of about as many rows each; null ids are range 0. And their number.
+def followers(rows: DataFrame) -> DataFrame:
+    """rows (_id, _text, _dk) -> (_dk, _id, _copies, _half, _next): for each different row its copies, half its length, and the row after its last copy.
 
-    The bounds are quantiles of the ids: at most `most` numbers on the driver.
+    The order is the id descending, null last, then hashes of the text and of
+    the row; after the last comes the first. Only numbers are sorted: ranges of
+    them, as many as the session has shuffle partitions, then the first row of
+    each range, one number a range.
     """
-    n = docs.count()
-    wanted = max(1, min(most, -(-n // rows)))
-    if wanted == 1:
-        return F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(F.lit(1)), 1
-    found = docs.agg(F.percentile_approx(id_col, [i / wanted for i in range(1, wanted)], 20 * wanted).alias("q")).first()["q"] or []
-    bounds = sorted(set(found))
-    if not bounds:
-        return F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(F.lit(1)), 1
-    # two steps of about the square root each, not a look at every bound
-    step = max(1, int(len(bounds) ** 0.5))
-    coarse = bounds[::step]
-    fine = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    kind = docs.schema[id_col].dataType
-
-    def below(xs: Column) -> Column:
-        return F.size(F.filter(xs, lambda b: b < F.col(id_col)))
-
-    group = below(F.array(*[F.lit(b).cast(kind) for b in coarse]))
-    groups = F.array(*[F.array(*[F.lit(b).cast(kind) for b in g]) for g in fine])
-    number = F.when(group == 0, F.lit(1)).otherwise((group - 1) * step + below(F.get(groups, group - 1)) + 1)
-    return F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(number), len(bounds) + 1
+    order = [F.col("_id").desc_nulls_last(), F.col("_x"), F.col("_dk")]
+    known = rows.groupBy("_dk").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_copies"), F.min(F.length("_text")).alias("_n"), F.min(F.xxhash64("_text")).alias("_x"))
+    ranges = cut(known.repartitionByRange(*order).withColumn("_r", F.spark_partition_id()))
+    within = W.partitionBy("_r").orderBy(*order)
+    placed = ranges.withColumns({"_next": F.lead("_dk").over(within), "_place": F.row_number().over(within)})
+    heads = placed.where("_place = 1").select("_r", F.col("_dk").alias("_head"))
+    all_ranges = W.partitionBy(F.lit(0)).orderBy("_r")
+    turn = heads.select("_r", F.coalesce(F.lead("_head").over(all_ranges), F.first("_head").over(all_ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_head"))
+    linked = placed.join(F.broadcast(turn), "_r")  # one row a range
+    return cut(linked.select("_dk", "_id", "_copies", F.floor(F.col("_n") / 2).cast("int").alias("_half"), F.coalesce("_next", "_head").alias("_next")))
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
-    """Returns id_col, _text, _choices and those of the next document (_next, _next_choices) in descending order of the id.
+    """Returns id_col, _text, _choices, and of the next document in descending order of the id _begin (as much of its text as replaces half of this one) and _next_hashes.
 
     Null ids come last; rows of one id follow each other by the hash of their
-    text. After the last document comes the first. Ranges of ids lie together,
-    and the first rows of a range also lie with the range before it, so each
-    text moves once and no task sees all rows.
+    text, equal rows are each other's next. After the last document comes the
+    first. Texts move once by row, and once more as far as the row before needs
+    them; no task sees more than its rows.
     """
-    number, _ = in_ranges(docs.select(id_col), id_col)
-    rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
-    firsts = {r["_r"]: r["_m"] for r in rows.select(number.alias("_r"), F.col(id_col)).groupBy("_r").agg(F.max(id_col).alias("_m")).collect()}
-    order = sorted(firsts, reverse=True)
-    kind = docs.schema[id_col].dataType
-    rows = rows.withColumn("_r", number).withColumn("_x", F.xxhash64("_text"))
-    if order:
-        before = dict(zip(order, order[-1:] + order[:-1], strict=True))
-        heads = [(firsts[r], before[r]) for r in order if firsts[r] is not None]
-        extra = F.lit(None).cast("int")
-        if heads:
-            named = F.map_from_arrays(F.array(*[F.lit(h).cast(kind) for h, _ in heads]), F.array(*[F.lit(b) for _, b in heads]))
-            extra = F.when(F.col(id_col).isNotNull(), F.try_element_at(named, F.coalesce(F.col(id_col), F.lit(heads[0][0]).cast(kind))))
-        if 0 in firsts:
-            least = rows.where(F.col(id_col).isNull()).agg(F.min("_x")).first()[0]
-            extra = F.when(F.col(id_col).isNull() & (F.col("_x") == F.lit(least)), F.lit(before[0])).otherwise(extra)
-        places = F.filter(F.array(F.struct(F.col("_r").alias("r"), F.lit(False).alias("head")), F.struct(extra.alias("r"), F.lit(True).alias("head"))), lambda p: p["r"].isNotNull())
-        rows = rows.withColumn("_p", F.explode(places)).select(id_col, "_text", "_x", F.col("_p.r").alias("_r"), F.col("_p.head").alias("_head"))
-    else:
-        rows = rows.withColumn("_head", F.lit(False))
-    rows = with_choices(rows.repartition("_r"), "_text", "_choices", k, window)
-    w = W.partitionBy("_r").orderBy("_head", F.col(id_col).desc_nulls_last(), "_x")
-    rows = rows.withColumn("_next", F.lead(F.struct("_text", "_choices")).over(w)).where("not _head")
-    return rows.select(id_col, "_text", "_choices", F.col("_next._text").alias("_next"), F.col("_next._choices").alias("_next_choices"))
-
-
-def edited(text: Column, other: Column) -> Column:
-    """text with its last floor(n/2) code points replaced by the first as many (or all) of other."""
-    half = F.floor(F.length(text) / 2).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(other, F.lit(1), half))
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_dk", F.xxhash64("_id", "_text"))
+    pairs = followers(rows)
+    texts = rows.groupBy("_dk").agg(F.first("_text").alias("_text"))
+    sent = texts.join(pairs.select(F.col("_next").alias("_dk"), F.col("_dk").alias("_to"), F.col("_half").alias("_needed")), "_dk")
+    sent = with_choices(sent.select("_to", "_needed", "_text"), "_text", "_choices", k, window)
+    sent = sent.select(F.col("_to").alias("_dk"), F.substring("_text", F.lit(1), F.col("_needed")).alias("_begin"), hashes(F.col("_choices")).alias("_next_hashes"))
+    own = with_choices(texts.join(pairs.select("_dk", "_id", "_copies", "_half"), "_dk"), "_text", "_choices", k, window)
+    met = own.join(sent, "_dk").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    last = F.col("_nth") == F.col("_copies")
+    return met.select(
+        F.col("_id").alias(id_col),
+        "_text",
+        "_choices",
+        F.when(last, F.col("_begin")).otherwise(F.substring("_text", F.lit(1), F.col("_half"))).alias("_begin"),
+        F.when(last, F.col("_next_hashes")).otherwise(hashes(F.col("_choices"))).alias("_next_hashes"),
+    )
+
+
+def edited(text: Column, begin: Column) -> Column:
+    """text with its last floor(n/2) code points replaced by begin."""
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - F.floor(F.length(text) / 2).cast("int")), begin)
 
 
 def compare_with_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they and the next document's are."""
-    rows = with_next(docs, id_col=id_col, text_col=text_col, k=k, window=window).withColumn("_edited", edited(F.col("_text"), F.col("_next")))
+    rows = with_next(docs, id_col=id_col, text_col=text_col, k=k, window=window).withColumn("_edited", edited(F.col("_text"), F.col("_begin")))
     rows = with_choices(rows, "_edited", "_edited_choices", k, window)
     rows = rows.select(
         id_col,
@@ -150,6 +152,6 @@ def compare_with_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         as_string(F.col("_edited_choices")).alias("edited_fingerprint"),
         hashes(F.col("_choices")).alias("_h"),
         hashes(F.col("_edited_choices")).alias("_eh"),
-        hashes(F.col("_next_choices")).alias("_nh"),
+        F.col("_next_hashes").alias("_nh"),
     )
     return rows.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("_h"), F.col("_eh")).alias("near_edited"), likeness(F.col("_h"), F.col("_nh")).alias("near_next"))

@@ -203,55 +203,91 @@ def slow_likeness(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-def test_winnowing_matches_guarantee_and_edits(spark):
+def tokens(text):
+    return [w[i : i + 8] for w in WORD.findall(text) for i in range(0, len(w), 8)]
+
+
+def slow_choices(hashed, k=winnowing.K, window=winnowing.WINDOW):
+    """Positions and hashes of the rightmost least k-gram of every window."""
+    m, base = winnowing.MODULUS, winnowing.BASE
+
+    def gram(part):
+        value = 0
+        for x in part:
+            value = (value * base + x) % m
+        return value
+
+    g = [gram(hashed[i : i + k]) for i in range(max(len(hashed) - k + 1, min(len(hashed), 1)))]
+    want = []
+    for s in range(max(1, len(g) - window + 1)):
+        if part := g[s : s + window]:
+            at = s + max(i for i, v in enumerate(part) if v == min(part))
+            if (g[at], at) not in want:
+                want.append((g[at], at))
+    return want
+
+
+def word_hashes(spark, parts):
+    df = spark.createDataFrame([(w,) for w in sorted(parts)], "w string")
+    return {x.w: x.h for x in df.select("w", F.pmod(F.xxhash64("w"), F.lit(winnowing.MODULUS)).alias("h")).collect()}
+
+
+def printed(fingerprint):
+    return [(x >> 31, x & (1 << 31) - 1) for x in (int(y, 16) for y in fingerprint.split(",") if y)]
+
+
+def test_winnowing_query_by_brute_force(spark):
     r = random.Random(6)
     shared = " ".join(words(r, winnowing.K + winnowing.WINDOW - 1))
     rows = [(i * 3, " ".join(words(r, r.randint(0, 40))), "en", "s", 0) for i in range(50)]
     rows[10] = (30, f"{rows[10][1]} {shared} {' '.join(words(r, 20))}", "en", "s", 0)
     rows[20] = (60, f"{shared} {' '.join(words(r, 9))}", "en", "s", 0)
+    rows[7] = (21, "abcdefg" * 90, "en", "s", 0)  # no blanks
     df = spark.createDataFrame(rows, SCHEMA)
     found = {x.doc_id: x for x in winnowing.compare_with_edited(df).collect()}
     text = {d: t for d, t, *_ in rows}
-    order = sorted(text, reverse=True)
-    prints = {d: {p.split(":")[0] for p in found[d].fingerprint.split(",") if p} for d in order}
+    order, edits = sorted(text, reverse=True), {}
+    for i, d in enumerate(order):
+        other, half = text[order[(i + 1) % len(order)]], len(text[d]) // 2
+        edits[d] = text[d][: len(text[d]) - half] + other[:half]
+    h = word_hashes(spark, {w for t in [*text.values(), *edits.values()] for w in tokens(t)})
+    own = {d: slow_choices([h[w] for w in tokens(text[d])]) for d in order}
+    new = {d: slow_choices([h[w] for w in tokens(edits[d])]) for d in order}
+    only = lambda x: {a for a, _ in x}
     for i, d in enumerate(order):
-        other = text[order[(i + 1) % len(order)]]
-        half = len(text[d]) // 2
-        edited = text[d][: len(text[d]) - half] + other[:half]
-        assert found[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and found[d].n_chars == len(text[d])
-        assert found[d].near_next == pytest.approx(slow_likeness(prints[d], prints[order[(i + 1) % len(order)]]))
-    assert prints[30] & prints[60]
+        x = found[d]
+        assert x.edited_sha256 == hashlib.sha256(edits[d].encode()).hexdigest() and x.n_chars == len(text[d])
+        assert printed(x.fingerprint) == own[d] and printed(x.edited_fingerprint) == new[d]
+        assert x.near_edited == pytest.approx(slow_likeness(only(own[d]), only(new[d])))
+        assert x.near_next == pytest.approx(slow_likeness(only(own[d]), only(own[order[(i + 1) % len(order)]])))
+        assert x.near_edited > 0 or len(tokens(text[d])) < 2 * (winnowing.K + winnowing.WINDOW)
+    assert only(own[30]) & only(own[60])
 
 
-def test_winnowing_choices_by_brute_force(spark):
+@pytest.mark.parametrize(("k", "window"), [(1, 1), (3, 4), (5, 7)])
+def test_winnowing_choices_by_brute_force(spark, k, window):
     r = random.Random(7)
     texts = [" ".join(r.choice("ab") for _ in range(r.randint(0, 40))) for _ in range(30)]  # many ties
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    hashed = df.selectExpr("doc_id", "transform(filter(split(text, ' '), w -> w <> ''), w -> xxhash64(w)) h")
-    grams = {x.doc_id: [g & 0xFFFFFFFF for g in x.g] for x in hashed.selectExpr("doc_id", "transform(sequence(0, size(h)), i -> shiftrightunsigned(xxhash64(get(h, i), get(h, i + 1), get(h, i + 2), get(h, i + 3), get(h, i + 4)), 32)) g").collect()}
-    for x in winnowing.fingerprints(df).collect():
-        n = len(texts[x.doc_id].split())
-        g = grams[x.doc_id][: max(n - 4, min(n, 1))]
-        want = []
-        for s in range(max(1, len(g) - winnowing.WINDOW + 1)):
-            part = g[s : s + winnowing.WINDOW]
-            if part:
-                at = s + max(i for i, v in enumerate(part) if v == min(part))
-                if (g[at], at) not in want:
-                    want.append((g[at], at))
-        assert [(p.hash, p.position) for p in x.fingerprint] == want
+    h = word_hashes(spark, set("ab"))
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _choices_h long")
+    for x in winnowing.fingerprints(df, k=k, window=window).collect():
+        assert [(p.hash, p.position) for p in x.fingerprint] == slow_choices([h[w] for w in texts[x.doc_id].split()], k, window)
+        assert x._choices_h == x.doc_id  # a name that the operator would like stays the user's
 
 
 def test_winnowing_edge_cases(spark):
     df = edge_cases(spark).withColumnRenamed("n_chars", "_text")
     rows = winnowing.compare_with_edited(df).collect()
     assert len(rows) == 12
-    same = {x.fingerprint for x in rows if x.n_chars == 54}
-    assert len(same) <= 1
+    assert len({x.fingerprint for x in rows if x.n_chars == 54}) <= 1
     assert all(0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1 for x in rows)
     assert winnowing.compare_with_edited(empty(spark)).count() == 0
+    assert winnowing.fingerprints(df).columns == [*df.columns, "fingerprint"]
     single = winnowing.compare_with_edited(spark.createDataFrame([(1, "a b c d e f", "", "", 0)], SCHEMA)).collect()
     assert len(single) == 1 and single[0].near_next == 1.0
+    # equal rows follow each other: all but the last are their own next
+    many = winnowing.compare_with_edited(spark.createDataFrame([(None, "a b c d e f", "", "", 0)] * 40 + [(None, "u v w x y z", "", "", 0)], SCHEMA)).collect()
+    assert len(many) == 41 and sum(x.near_next == 1.0 for x in many) == 39
 
 
 # tokenization
