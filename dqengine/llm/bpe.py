@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,8 +31,8 @@ from dqengine.llm.common import map_batches
 # The pattern that splits a text before the merges of a byte-level vocabulary.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of each memo table before it is emptied.
-MEMO = 300_000
+#: Entries of each half of a memo table, characters of what is remembered, and pairs of tokens remembered.
+MEMO, MEMO_CHARS, PAIRS = 150_000, 64, 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,6 +42,29 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """The ids of pre-tokens, as bytes of 32-bit numbers, worked out where they are missing.
+
+    The table has two halves: when the younger is full it becomes the older,
+    and what is found in the older comes back.
+    """
+
+    def __init__(self, encode: Callable[[bytes], list[int]]) -> None:
+        self.encode = encode
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.encode(word.encode("utf-8", "replace"))).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class BytePairCodec:
     """Encoder and decoder for one vocabulary file."""
 
@@ -57,6 +80,7 @@ class BytePairCodec:
         self.pieces = np.full(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, b"", dtype=object)
         for i, b in as_bytes.items():
             self.pieces[i] = b
+        self.lengths = [len(b) for b in self.pieces]
         self.merge_rank: dict[tuple[int, int], int] = {}
         self.made_of: dict[int, tuple[int, int, int]] = {}  # token -> left, right, rank
         for rank, m in enumerate(spec["model"]["merges"]):
@@ -80,14 +104,12 @@ class BytePairCodec:
                 self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
         self.split = regex.compile(SPLIT_PATTERN)
-        self.words: dict[str, array] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words = Memo(self.encode_piece)
+        self.pairs: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """True if a followed by b stays as these two tokens."""
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
         left, right, before = a, b, len(self.merge_rank) + 1
         ok = True
         while True:
@@ -104,35 +126,40 @@ class BytePairCodec:
             else:
                 # among equal merges the leftmost comes first, so an equal rank crosses too
                 right, before = of_right[0], of_right[2] + 1
-        if len(self.pairs) >= MEMO:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[(a, b)] = ok
+        self.pairs[a << 24 | b] = ok
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the unique last token of every prefix, then the way back."""
         n = len(piece)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
+        last, pairs = [-1] * (n + 1), self.pairs
         for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            at = end + 1 - length
-            if last[end + 1] < 0 and (at == 0 or last[at] >= 0 and self.compatible(last[at], token)):
-                if at or self.whole(token):
-                    last[end + 1], start[end + 1] = token, at
-        ids, at = [], n
+            end += 1
+            if last[end] < 0:
+                at = end - length
+                if at == 0:
+                    fits = self.whole(token)
+                elif (before := last[at]) < 0:
+                    continue
+                elif (fits := pairs.get(before << 24 | token)) is None:
+                    fits = self.compatible(before, token)
+                if fits:
+                    last[end] = token
+        ids, at, lengths = [], n, self.lengths
         while at:
             ids.append(last[at])
-            at = start[at]
+            at -= lengths[last[at]]
         return ids[::-1]
 
     def whole(self, token: int) -> bool:
         """True if the token's own bytes encode to it alone: its two halves, were they apart, must meet."""
-        made = self.made_of.get(token)
-        if made is None:
-            return True
-        key = (-1, token)
-        if key not in self.pairs:
-            self.pairs[key] = self.whole(made[0]) and self.whole(made[1]) and self._meets(*made)
-        return self.pairs[key]
+        known = self.alone.get(token)
+        if known is None:
+            made = self.made_of.get(token)
+            known = self.alone[token] = made is None or self.whole(made[0]) and self.whole(made[1]) and self._meets(*made)
+        return known
 
     def _meets(self, a: int, b: int, rank: int) -> bool:
         left, right, before = a, b, rank
@@ -148,27 +175,17 @@ class BytePairCodec:
             if crossing is not None and crossing < before:
                 return False
 
-    def _plain(self, text: str, out: array) -> None:
-        words = self.words
-        for w in self.split.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = array("i", self.encode_piece(w.encode("utf-8", "replace")))
-                if len(w) <= 64:
-                    if len(words) >= MEMO:
-                        words.clear()
-                    words[w] = ids
-            out.extend(ids)
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split.findall(text)))
 
     def encode(self, text: str) -> array:
-        out = array("i")
-        at = 0
+        out, at = array("i"), 0
         if self.added_pattern is not None:
             for m in self.added_pattern.finditer(text):
-                self._plain(text[at : m.start()], out)
+                out.frombytes(self._plain(text[at : m.start()]))
                 out.append(self.added[m.group()])
                 at = m.end()
-        self._plain(text[at:] if at else text, out)
+        out.frombytes(self._plain(text[at:] if at else text))
         return out
 
     def decode(self, ids) -> str:

@@ -7,13 +7,14 @@ their sizes, until one of them is certain to be in or out, and the other goes on
 to the next pair. Each exchange keeps the expected copies of both documents and
 the words of the pair, so a source ends within one document of its target.
 
-A source is dealt out to buckets of bounded size by the hash of the id; each
-bucket ends with at most one unsettled document, and those residuals are
+A source is dealt out to buckets of bounded size by the hash of the row, equal
+rows by their number besides; each bucket ends with at most one unsettled document, and those residuals are
 combined in a tree of bounded fan-in until each source has one left, which is
 settled by a last draw. All draws come from hashes, so reruns agree.
 
 Null texts have size 0. Null sources are a source of their own, last in order.
-Rows that repeat an id are documents of their own. Documents of size 0 take 0.
+Rows that repeat an id are documents of their own, also equal ones. Documents of
+size 0 take 0, an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dqengine.llm.common import cut, ship, text_or_empty
+from dqengine.llm.common import cut, fresh, ship, text_or_empty
 
 #: Rows of a bucket on average, and residuals combined in one step of the tree.
 BUCKET, FAN_IN = 1024, 256
+#: Sources at most, for they pass through the driver; sources of which a table is broadcast, of some 100 bytes each.
+MOST_SOURCES, BROADCAST_SOURCES = 1_000_000, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -108,24 +111,40 @@ def combiner(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.D
     return combine
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, bucket: int = BUCKET, fan_in: int = FAN_IN) -> DataFrame:
-    """Returns id_col, source_col, size, source_size, target, copies and taken (words: copies times size) for each row.
+def row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    """Tells rows apart by id, text and source; equal rows have equal keys."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.lit(1), text_or_empty(text_col), F.lit(2), F.col(source_col).cast("string"))
 
-    The number of sources is that of the weights' table: sizes and targets of
-    the sources pass through the driver, nothing of the documents does.
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Returns id_col, source_col, size, source_size, target, copies and taken (words: copies times size) for each row; options as of shares()."""
+    return shares(docs, **options).drop("_key", "_nth")
+
+
+def shares(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, bucket: int = BUCKET, fan_in: int = FAN_IN) -> DataFrame:
+    """What mix() returns, and the row's key and its number among equal rows.
+
+    Sizes and targets of the sources pass through the driver, some 100 bytes a
+    source and a million sources at most; nothing of the documents does.
     """
-    sized = cut(docs.select(F.col(id_col).cast("string").alias("_id"), F.col(source_col).cast("string").alias("_src"), word_count(text_or_empty(text_col)).alias("size")))
-    by_source = {r["_src"]: (r["n"], r["words"]) for r in sized.groupBy("_src").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).collect()}
+    own = (F.col(id_col).cast("string").alias("_id"), F.col(source_col).cast("string").alias("_src"), word_count(text_or_empty(text_col)).alias("size"), row_key(id_col, text_col, source_col).alias("_key"))
+    folded = docs.select(*own).groupBy("_id", "_src", "size", "_key").agg(F.count(F.lit(1)).alias("_m"))
+    sized = cut(folded.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m"))
+    found = sized.groupBy("_src").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    by_source = {r["_src"]: (r["n"], r["words"]) for r in found}
     goal = targets({s: w for s, (_, w) in by_source.items()}, weights, share, most)
     spark = docs.sparkSession
     ship(spark)
     table = [(i, s, w, goal[s], goal[s] / w if w else 0.0, -(-n // bucket)) for i, (s, (n, w)) in enumerate(sorted(by_source.items(), key=lambda x: (x[0] is None, x[0] or "")))]
     sources = spark.createDataFrame(table, "_s int, _name string, source_size long, target double, _rate double, _buckets int")
-    placed = sized.join(F.broadcast(sources), F.col("_src").eqNullSafe(F.col("_name")))
-    placed = placed.withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(seed)), F.col("_buckets")).cast("int"))
+    small = F.broadcast if len(table) <= BROADCAST_SOURCES else (lambda df: df)
+    placed = sized.join(small(sources), F.col("_src").eqNullSafe(F.col("_name")))
+    placed = placed.withColumn("_b", F.pmod(F.xxhash64("_key", "_nth", F.lit(seed)), F.col("_buckets")).cast("int"))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["_h", "_key", "_nth"], kind="stable").reset_index(drop=True)
         rate = float(pdf["_rate"].iloc[0])
         whole = int(rate + 1e-9)
         part = rate - whole if rate - whole > 1e-9 else 0.0
@@ -133,9 +152,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         pdf["_whole"] = np.where(pdf["size"] > 0, whole, 0)
         pdf["_p"] = p
         pdf["_held"] = np.arange(len(pdf)) == held
-        return pdf[["_id", "_s", "_b", "size", "_whole", "_p", "_held"]]
+        return pdf[["_id", "_key", "_nth", "_s", "_b", "size", "_whole", "_p", "_held"]]
 
-    first = placed.select("_id", "_s", "_b", "size", "_rate", F.xxhash64("_id", "size", F.lit(seed)).alias("_h")).groupBy("_s", "_b").applyInPandas(settle, "_id string, _s int, _b int, size long, _whole int, _p double, _held boolean")
+    first = placed.select("_id", "_key", "_nth", "_s", "_b", "size", "_rate", F.xxhash64("_key", "_nth", F.lit(seed + 1)).alias("_h")).groupBy("_s", "_b").applyInPandas(settle, "_id string, _key long, _nth long, _s int, _b int, size long, _whole int, _p double, _held boolean")
     first = cut(first)
 
     # the tree: (source, bucket) of each unsettled document, its size and probability
@@ -158,22 +177,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         for s in settled[1:]:
             answers = answers.unionByName(s)
         result = first.join(answers.withColumn("_held", F.lit(True)), ["_s", "_b", "_held"], "left").withColumn("_p", F.coalesce("_q", "_p"))
-    result = result.join(F.broadcast(sources.select("_s", "_name", "source_size", "target")), "_s")
+    result = result.join(small(sources.select("_s", "_name", "source_size", "target")), "_s")
     copies = (F.col("_whole") + F.round("_p").cast("int")).alias("copies")
-    return result.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_name").alias(source_col), "size", "source_size", "target", copies).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+    result = result.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_name").alias(source_col), "size", "source_size", "target", copies, "_key", "_nth")
+    return result.withColumn("taken", F.col("copies").cast("long") * F.col("size"))
 
 
 def repeat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it. Rows of size 0 stay once, for they take nothing from any target.
 
-    Rows that repeat id and size share their draws in some order.
+    All columns of docs come back as they are, whatever their names.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    by = [F.col(id_col).cast("string").alias("_i"), F.col(source_col).cast("string").alias("_c"), F.col("size").alias("_z")]
-    nth = F.row_number().over(W.partitionBy("_i", "_c", "_z").orderBy(F.col("copies").desc())).alias("_nth")
-    counts = taken.select(*by, "copies").select("_i", "_c", "_z", nth, F.when(F.col("_z") == 0, 1).otherwise(F.col("copies")).alias("_copies"))
-    held = docs.withColumns({"_i": F.col(id_col).cast("string"), "_c": F.col(source_col).cast("string"), "_z": word_count(text_or_empty(text_col))})
-    held = held.withColumn("_nth", F.row_number().over(W.partitionBy("_i", "_c", "_z").orderBy(F.xxhash64(text_col))))
-    same = [held[c].eqNullSafe(counts[c]) for c in ("_i", "_c")] + [held[c] == counts[c] for c in ("_z", "_nth")]
-    joined = held.join(counts, same).where("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(held[c] for c in docs.columns))
+    taken = shares(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    key, nth, copies = (fresh(docs, f"_mix_{c}") for c in ("key", "nth", "copies"))
+    counts = taken.select(F.col("_key").alias("k"), F.col("_nth").alias("n"), times.alias(copies)).where(F.col(copies) > 0)
+    held = docs.withColumn(key, row_key(id_col, text_col, source_col))
+    held = held.withColumn(nth, F.row_number().over(W.partitionBy(key).orderBy(key)).cast("long"))  # equal in all that the mix looks at
+    joined = held.join(counts, (held[key] == counts["k"]) & (held[nth] == counts["n"]))
+    return joined.select(*(held[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), counts[copies])).alias(copies)).drop(copies)

@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqengine.llm.common import cut, map_batches
-from dqengine.llm.components import connected_components
+from dqengine.llm.common import cut, fresh, map_batches
+from dqengine.llm.components import apart, connected_components
 from dqengine.llm.near_copies import near_copies
 
 #: Shingles hashed at a time, so that very long texts need bounded memory.
@@ -122,7 +122,8 @@ def links(fps: DataFrame, *, fp: str = "fp", max_distance: int = 4, shared: int
     keyed = fps.select(F.col(fp).alias("_f"), F.explode(block_keys(F.col(fp), max_distance, shared)).alias("_k"))
     live = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     tiles = F.ceil(F.col("_n") / F.lit(tile)).cast("int")
-    met = keyed.join(live, "_k").withColumn("_tiles", tiles).withColumn("_t", F.pmod(F.xxhash64("_f"), F.col("_tiles")).cast("int"))
+    live = live.select(apart(F.col("_k")).alias("_l"), "_n")
+    met = keyed.join(live, apart(F.col("_k")) == F.col("_l")).withColumn("_tiles", tiles).withColumn("_t", F.pmod(F.xxhash64("_f"), F.col("_tiles")).cast("int"))
     # a key of one tile has one cell; of more, a row goes to the cells of its tile with every tile
     cells = met.select("_k", "_f", "_t", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_o"))
     cells = cells.select("_k", F.least("_t", "_o").alias("_i"), F.greatest("_t", "_o").alias("_j"), F.struct("_t", "_f").alias("_x"))
@@ -155,8 +156,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fps = own.groupBy("fp").agg(F.min(id_col).alias("_least"))
     joined = connected_components(links(fps.select("fp"), max_distance=max_distance, shared=shared))
     rooted = fps.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id")).select(apart(F.col("root")).alias("_r"), "component_id")
+    placed = rooted.join(least, apart(F.col("root")) == F.col("_r")).select(apart(F.col("fp")).alias("_f"), "component_id")
+    return own.join(placed, apart(F.col("fp")) == F.col("_f")).select(id_col, "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -176,6 +178,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         placed = near_duplicates(docs, id_col=id_col, text_col=text_col, n=n, max_distance=max_distance, shared=shared)
     else:
         placed = near_copies(docs, id_col=id_col, text_col=text_col, n=n, similarity=similarity)
-    gone = placed.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    without_id = docs.where(F.col(id_col).isNull())
-    return docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti").unionByName(without_id)
+    name = fresh(docs, "_gone")
+    gone = placed.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    # a null id equals none, so its rows stay
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqengine.llm.common import cut, map_batches, text_or_empty
+from dqengine.llm.common import cut, drop, map_batches, text_or_empty
 
 #: Different segments of one anchor that a task handles at most, and blocks of one suffix array on average.
 HOT, ARRAY = 20_000, 200_000
@@ -238,7 +238,8 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
 def segment_texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted (_h, _s, _n, _dk, _at, _hot) -> (_h, _s, _n, _hot, _o, _r, _seg): offset of the anchor, windows and bytes of each segment."""
     asked = wanted.groupBy("_dk").agg(F.collect_list(F.struct("_h", "_s", "_n", "_at", "_hot")).alias("_w"))
-    rows = keyed.select("_dk", "_text").join(asked, "_dk")
+    # of equal rows one is enough
+    rows = keyed.groupBy("_dk").agg(F.first("_text").alias("_text")).join(asked, "_dk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_h", "_s", "_n", "_hot", "_o", "_r", "_seg"]
@@ -252,8 +253,7 @@ def segment_texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame
             for i in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000], strict=True), types, strict=True)], names)
 
-    made = map_batches(rows.select("_text", "_w"), run, "_h long, _s long, _n long, _hot boolean, _o int, _r int, _seg binary")
-    return made.dropDuplicates(["_h", "_s"])
+    return map_batches(rows.select("_text", "_w"), run, "_h long, _s long, _n long, _hot boolean, _o int, _r int, _seg binary")
 
 
 def by_suffix_array(segments: DataFrame, length: int) -> DataFrame:
@@ -302,18 +302,23 @@ def by_windows(segments: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(keyed: DataFrame, length: int, hot: int) -> DataFrame:
     """(_dk, _spans): starts and ends, alternating, of what is covered in each document that has some; they may overlap."""
-    found = anchor_table(keyed, length)
+    found = cut(anchor_table(keyed, length))
     shared = found.groupBy("_h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_h")
     rows = cut(found.join(shared, "_h", "left_semi"))
-    segments = rows.groupBy("_h", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_dk", "_at")).alias("_one"))
+    drop(found)
+    segments = cut(rows.groupBy("_h", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_dk").alias("_dk")))
     mixed_ones = segments.groupBy("_h").agg(F.count(F.lit(1)).alias("_m"), F.min("_n").alias("_least")).where("_m > 1 and _least = 1").select("_h", (F.col("_m") > hot).alias("_hot"))
-    wanted = segments.join(mixed_ones, "_h").select("_h", "_s", "_n", "_one._dk", "_one._at", "_hot")
-    texts = segment_texts(keyed, wanted, length)
+    asked = segments.join(mixed_ones, "_h").select("_h", "_s", "_n", "_dk", "_hot")
+    # each segment is fetched from one of its documents, from one place in it
+    wanted = rows.join(asked, ["_h", "_s", "_dk"]).groupBy("_h", "_s", "_n", "_dk", "_hot").agg(F.min("_at").alias("_at"))
+    texts = cut(segment_texts(keyed, wanted, length))
     parts = by_suffix_array(texts.where("not _hot"), length).unionByName(by_windows(texts.where("_hot"), length)).withColumnRenamed("_w", "_v")
     # a segment that occurs twice repeats all its windows
     whole = segments.where("_n > 1").select("_h", "_s", F.lit(True).alias("_all"))
     answer = whole.join(parts, ["_h", "_s"], "full").select("_h", "_s", F.coalesce("_all", F.lit(False)).alias("_all"), "_v")
-    hits = rows.join(answer, ["_h", "_s"])
+    # cut: the join with all places then has a shuffle of its own on either side, and Spark can split a segment's many copies
+    hits = rows.join(cut(answer), ["_h", "_s"])
+    drop(texts)
     first, run = F.shiftright("_at", 24), F.col("_at").bitwiseAND(F.lit(4095))
     windows = F.when(F.col("_all"), F.array(first, first + run)).otherwise(F.transform("_v", lambda i: i.cast("long") + first))
     return hits.select("_dk", windows.alias("_w")).groupBy("_dk").agg(F.flatten(F.collect_list("_w")).alias("_spans"))
@@ -324,7 +329,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not 8 <= length < 4000:
         raise ValueError("length must be from 8 to 3999 bytes")
     keyed = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    keyed = keyed.withColumn("_dk", F.xxhash64("_id", "_text")).repartition("_dk")
+    keyed = keyed.withColumn("_dk", F.xxhash64("_id", "_text"))
     spans = repeated_spans(keyed, length, hot)
     rows = keyed.join(spans, "_dk", "left").select("_id", "_text", "_spans")
     kind = rows.schema["_id"].dataType.simpleString()

@@ -196,6 +196,22 @@ def test_mixing_edge_cases(spark):
     assert mixing.repeat(df).columns == df.columns
 
 
+def test_mix_of_equal_rows_and_clashing_names(spark):
+    # one row three hundred times, one id under many texts, null ids
+    rows = [(7, "a b c d", "s0", 1, 1)] * 300 + [(8, "w " * (i % 7), "s1", 2, i) for i in range(200)] + [(None, f"x y {i}", None, 3, i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_copies int, size int")
+    got = mixing.mix(docs, bucket=32).collect()
+    assert len(got) == 600
+    for source in ("s0", "s1", None):
+        own = [x for x in got if x.source == source]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 7
+    out = mixing.repeat(docs, bucket=32)
+    assert out.columns == docs.columns
+    again = Counter((x.doc_id, x.text, x.source, x._mix_copies, x.size) for x in out.collect())
+    assert set(again) <= set(rows) and sum(v for k, v in again.items() if k[0] == 7) * 4 == sum(x.taken for x in got if x.doc_id == 7)
+    assert Counter((x.doc_id, x.size) for x in mixing.mix(docs.repartition(5), bucket=32).where("copies > 0").collect()) == Counter((x.doc_id, x.size) for x in got if x.copies)
+
+
 # fingerprints
 
 
