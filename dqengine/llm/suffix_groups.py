@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqengine.llm.common import cut, drop, map_batches, text_or_empty
+from dqengine.llm.components import apart
 
 #: Different segments of one anchor that a task handles at most, and blocks of one suffix array on average.
 HOT, ARRAY = 20_000, 200_000
@@ -303,8 +304,8 @@ def by_windows(segments: DataFrame, length: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, length: int, hot: int) -> DataFrame:
     """(_dk, _spans): starts and ends, alternating, of what is covered in each document that has some; they may overlap."""
     found = cut(anchor_table(keyed, length))
-    shared = found.groupBy("_h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_h")
-    rows = cut(found.join(shared, "_h", "left_semi"))
+    shared = found.groupBy("_h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select(apart(F.col("_h")).alias("_o"))
+    rows = cut(found.join(shared, apart(F.col("_h")) == F.col("_o"), "left_semi"))
     drop(found)
     segments = cut(rows.groupBy("_h", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_dk").alias("_dk")))
     mixed_ones = segments.groupBy("_h").agg(F.count(F.lit(1)).alias("_m"), F.min("_n").alias("_least")).where("_m > 1 and _least = 1").select("_h", (F.col("_m") > hot).alias("_hot"))
