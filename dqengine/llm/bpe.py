@@ -32,7 +32,7 @@ from dqengine.llm.common import map_batches
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of each half of a memo table, characters of what is remembered, and pairs of tokens remembered.
-MEMO, MEMO_CHARS, PAIRS = 150_000, 64, 150_000
+MEMO, MEMO_CHARS, PAIRS = 100_000, 64, 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,7 +65,29 @@ class Memo(dict):
         return ids
 
 
-class BytePairCodec:
+def pieces(spec: dict) -> np.ndarray:
+    """The bytes of each token by its id, from a vocabulary file's contents."""
+    letters, vocab = byte_alphabet(), spec["model"]["vocab"]
+    made = np.full(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, b"", dtype=object)
+    for s, i in vocab.items():
+        made[i] = bytes(letters[c] for c in s)
+    for t in spec["added_tokens"]:
+        made[t["id"]] = t["content"].encode()
+    return made
+
+
+class BytePairDecoder:
+    """Decoder for one vocabulary file; much smaller than the encoder."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            self.pieces = pieces(json.load(f))
+
+    def decode(self, ids) -> str:
+        return b"".join(self.pieces[ids].tolist()).decode("utf-8", "replace") if len(ids) else ""
+
+
+class BytePairCodec(BytePairDecoder):
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str):
@@ -74,12 +96,8 @@ class BytePairCodec:
         pre = spec.get("pre_tokenizer") or {}
         if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE files are supported")
-        letters = byte_alphabet()
         vocab = spec["model"]["vocab"]
-        as_bytes = {i: bytes(letters[c] for c in s) for s, i in vocab.items()}
-        self.pieces = np.full(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, b"", dtype=object)
-        for i, b in as_bytes.items():
-            self.pieces[i] = b
+        self.pieces = pieces(spec)
         self.lengths = [len(b) for b in self.pieces]
         self.merge_rank: dict[tuple[int, int], int] = {}
         self.made_of: dict[int, tuple[int, int, int]] = {}  # token -> left, right, rank
@@ -95,11 +113,11 @@ class BytePairCodec:
             if t.get("lstrip") or t.get("rstrip") or t.get("single_word"):
                 raise ValueError("added tokens that strip or match single words are not supported")
             self.added[t["content"]] = t["id"]
-            self.pieces[t["id"]] = t["content"].encode()
         by_length = sorted(self.added, key=len, reverse=True)
         self.added_pattern = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
         self.automaton = ahocorasick.Automaton()
-        for i, b in as_bytes.items():
+        for i in vocab.values():
+            b = self.pieces[i]
             if len(b) == 1 or i in self.made_of:
                 self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
@@ -188,18 +206,15 @@ class BytePairCodec:
         out.frombytes(self._plain(text[at:] if at else text))
         return out
 
-    def decode(self, ids) -> str:
-        return b"".join(self.pieces[ids].tolist()).decode("utf-8", "replace") if len(ids) else ""
-
 
-_codecs: dict[str, BytePairCodec] = {}
+_codecs: dict[tuple[type, str], BytePairDecoder] = {}
 
 
-def codec(path: str) -> BytePairCodec:
-    """One codec for each worker process and file."""
-    if path not in _codecs:
-        _codecs[path] = BytePairCodec(path)
-    return _codecs[path]
+def codec(path: str, kind: type = BytePairCodec) -> BytePairDecoder:
+    """One of the kind for each worker process and file."""
+    if (kind, path) not in _codecs:
+        _codecs[kind, path] = kind(path)
+    return _codecs[kind, path]
 
 
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -230,7 +245,7 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", out: str = "d
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, BytePairDecoder)
         for batch in batches:
             col = batch.column(where)
             texts = [c.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in col]

@@ -36,7 +36,7 @@ IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
 
 WORD = regex.compile(r"\p{L}+")
 #: Distinct words that a worker remembers the weight of.
-MEMO = 400_000
+MEMO = 100_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
