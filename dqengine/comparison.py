@@ -39,7 +39,7 @@ def _judge(ratio: float, assertion: Assertion, passed: int | None = None, total:
 
 def _missing(df: DataFrame, columns: Iterable[str], what: str) -> str | None:
     lost = [c for c in columns if find(df, c) is None]
-    return f"The following columns were not found in the {what}: {', '.join(lost)}" if lost else None
+    return f"the {what} lacks {', '.join(lost)}" if lost else None
 
 
 def _checked(ds1: DataFrame, ds2: DataFrame, keys: dict[str, str], values: dict[str, str]) -> str | None:
@@ -66,7 +66,7 @@ def column_match(ds1: DataFrame, ds2: DataFrame, key_map: dict[str, str], compar
         names = [c for c in ds1.columns if c not in key_map]
         theirs = {c for c in ds2.columns if c not in set(key_map.values())}
         if set(names) != theirs:
-            return Failed("Non key columns in the given data frames do not match.")
+            return Failed("without compared columns, both sides need the same columns besides the keys")
         compared = {c: c for c in names}
     if lost := _checked(ds1, ds2, key_map, compared):
         return Failed(lost)
@@ -81,9 +81,9 @@ def column_match(ds1: DataFrame, ds2: DataFrame, key_map: dict[str, str], compar
     rows1, rows2 = (int(c["rows"] or 0) for c in counts)
     lost = [w for c, w in zip(counts, ("first", "second"), strict=True) if (c["most"] or 0) > 1]
     if lost:
-        return Failed(f"The selected columns are not comparable due to duplicates present in the dataset. Comparison keys must be unique, but {' and '.join(lost)} dataset has repeated keys.")
+        return Failed(f"keys repeat in the {' and the '.join(lost)} dataset, so its rows can't be told apart")
     if rows1 != rows2:
-        return Failed(f"The row counts of the two data frames do not match: {rows1} and {rows2}.", None, 0, rows1)
+        return Failed(f"{rows1} rows against {rows2}", None, 0, rows1)
     if not rows1:
         return _judge(1.0, assertion, 0, 0)
     matched = left.join(right, every(_same("l", "r", n + len(compared)))).count()
@@ -119,7 +119,7 @@ def subset_check(primary: DataFrame, columns: list[str], reference: DataFrame, r
 
 def _columns_fit(primary: DataFrame, columns: list[str], reference: DataFrame, reference_columns: list[str]) -> str | None:
     if not columns or len(columns) != len(reference_columns):
-        return "The same number of columns, one at least, has to be given for both datasets"
+        return "name as many columns of one dataset as of the other, at least one"
     return _missing(primary, columns, "primary dataset") or _missing(reference, reference_columns, "reference dataset")
 
 

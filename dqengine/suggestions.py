@@ -96,14 +96,14 @@ class ConstraintRule:
 
 
 class CompleteIfComplete(ConstraintRule):
-    description = "If a column is complete in the sample, we suggest a NOT NULL constraint"
+    description = "No value is missing: none may be from now on"
 
     def applies(self, profile, n):
         return profile.completeness == 1.0
 
     def candidate(self, profile, n):
         c = profile.column
-        return ConstraintSuggestion(C.of(O.Completeness(c), IS_ONE), c, f"Completeness: {profile.completeness}", f"'{c}' is not null", self, f".is_complete({c!r})")
+        return ConstraintSuggestion(C.of(O.Completeness(c), IS_ONE), c, f"Completeness: {profile.completeness}", f"{c} has a value in each row", self, f".is_complete({c!r})")
 
 
 @dataclass(eq=False)
@@ -111,7 +111,7 @@ class RetainCompleteness(ConstraintRule):
     min_completeness: float = 0.2
     max_completeness: float = 1.0
     interval: IntervalStrategy = WaldInterval()
-    description = "If a column is incomplete in the sample, we model its completeness as a binomial variable, estimate a confidence interval and use this to define a lower bound for the completeness"
+    description = "Some values are missing: their share may not grow beyond what sampling explains (lower end of a confidence interval)"
 
     __str__ = ConstraintRule.__str__
 
@@ -121,18 +121,18 @@ class RetainCompleteness(ConstraintRule):
     def candidate(self, profile, n):
         c, least = profile.column, self.interval.calculate(profile.completeness, n).lower_bound
         test = Is(">=", least)
-        return ConstraintSuggestion(C.of(O.Completeness(c), test), c, f"Completeness: {profile.completeness}", f"'{c}' has less than {int((1.0 - least) * 100)}% missing values", self, f'.has_completeness({c!r}, Is(">=", {least}), "It should be above {least}!")')
+        return ConstraintSuggestion(C.of(O.Completeness(c), test), c, f"Completeness: {profile.completeness}", f"at least {100 * least:.4g} % of {c} are present", self, f'.has_completeness({c!r}, Is(">=", {least}), "at least {least} is expected")')
 
 
 class RetainType(ConstraintRule):
-    description = "If we detect a non-string type, we suggest a type constraint"
+    description = "The values read as numbers or booleans: they should go on doing so"
 
     def applies(self, profile, n):
         return profile.is_data_type_inferred and profile.data_type in ("Integral", "Fractional", "Boolean")
 
     def candidate(self, profile, n):
         c, kind = profile.column, ConstrainableDataTypes(profile.data_type)
-        return ConstraintSuggestion(C.data_type(O.DataType(c), kind), c, f"DataType: {profile.data_type}", f"'{c}' has type {profile.data_type}", self, f".has_data_type({c!r}, ConstrainableDataTypes.{kind.name})")
+        return ConstraintSuggestion(C.data_type(O.DataType(c), kind), c, f"DataType: {profile.data_type}", f"{c} holds {profile.data_type} values", self, f".has_data_type({c!r}, ConstrainableDataTypes.{kind.name})")
 
 
 Categories = list[tuple[str, DistributionValue]]
@@ -159,7 +159,7 @@ def _within(column: str, categories: list[str], label: str, test: Callable[[floa
 @dataclass(eq=False)
 class CategoricalRange(ConstraintRule):
     sorter: Callable[[Categories], Categories] = by_popularity
-    description = "If we see a categorical range for a column, we suggest an IS IN (...) constraint"
+    description = "Few different values: no others are expected"
     __str__ = ConstraintRule.__str__
 
     def applies(self, profile, n):
@@ -169,7 +169,7 @@ class CategoricalRange(ConstraintRule):
     def candidate(self, profile, n):
         c = profile.column
         values = [k for k, _ in self.sorter([kv for kv in profile.histogram.values.items() if kv[0] != NULL_VALUE])]
-        constraint = _within(c, values, f"'{c}' has value range {{0}}", IS_ONE)
+        constraint = _within(c, values, f"{c} is one of {{0}}", IS_ONE)
         return ConstraintSuggestion(constraint, c, "Compliance: 1", constraint.analyzer.instance, self, f".is_contained_in({c!r}, {values!r})")
 
 
@@ -178,7 +178,7 @@ class FractionalCategoricalRange(ConstraintRule):
     target_coverage: float = 0.9
     sorter: Callable[[Categories], Categories] = by_popularity
     interval: IntervalStrategy = WaldInterval()
-    description = "If we see a categorical range for most values in a column, we suggest an IS IN (...) constraint that should hold for most values"
+    description = "A few values make up most rows: about that share should stay among them"
     __str__ = ConstraintRule.__str__
 
     def _top(self, profile: ColumnProfile) -> Categories:
@@ -199,13 +199,13 @@ class FractionalCategoricalRange(ConstraintRule):
         covered = sum(v.ratio for _, v in top)
         values = [k for k, _ in self.sorter([kv for kv in top if kv[0] != NULL_VALUE])]
         least = self.interval.calculate(min(1.0, covered), n).lower_bound
-        hint = f"It should be above {least}!"
-        constraint = _within(c, values, f"'{c}' has value range {{0}} for at least {least * 100}% of values", Is(">=", least), hint)
+        hint = f"at least {least} is expected"
+        constraint = _within(c, values, f"{c} is one of {{0}} in {100 * least:.4g} % of rows or more", Is(">=", least), hint)
         return ConstraintSuggestion(constraint, c, f"Compliance: {covered}", constraint.analyzer.instance, self, f'.is_contained_in({c!r}, {values!r}, Is(">=", {least}), {hint!r})')
 
 
 class NonNegativeNumbers(ConstraintRule):
-    description = "If we see only non-negative numbers in a column, we suggest a corresponding constraint"
+    description = "No number is below zero: none should be"
 
     def applies(self, profile, n):
         return isinstance(profile, NumericColumnProfile) and profile.minimum is not None and profile.minimum >= 0.0
@@ -213,18 +213,18 @@ class NonNegativeNumbers(ConstraintRule):
     def candidate(self, profile, n):
         c = profile.column
         constraint = Check(CheckLevel.WARNING, "").is_non_negative(c).constraints[0]
-        return ConstraintSuggestion(constraint, c, f"Minimum: {profile.minimum}", f"'{c}' has no negative values", self, f".is_non_negative({c!r})")
+        return ConstraintSuggestion(constraint, c, f"Minimum: {profile.minimum}", f"{c} is zero or more", self, f".is_non_negative({c!r})")
 
 
 class UniqueIfApproximatelyUnique(ConstraintRule):
-    description = "If the ratio of approximate num distinct values in a column is close to the number of records (within error of HLL sketch), we suggest a UNIQUE constraint"
+    description = "About as many different values as rows, within the error of the sketch: they should be unique"
 
     def applies(self, profile, n):
         return profile.completeness == 1.0 and n > 0 and abs(1.0 - profile.approximate_num_distinct_values / n) <= 0.08
 
     def candidate(self, profile, n):
         c = profile.column
-        return ConstraintSuggestion(C.of(O.Uniqueness((c,)), IS_ONE), c, f"ApproxDistinctness: {profile.approximate_num_distinct_values / n}", f"'{c}' is unique", self, f".is_unique({c!r})")
+        return ConstraintSuggestion(C.of(O.Uniqueness((c,)), IS_ONE), c, f"ApproxDistinctness: {profile.approximate_num_distinct_values / n}", f"{c} repeats no value", self, f".is_unique({c!r})")
 
 
 @dataclass(eq=False)
@@ -243,7 +243,7 @@ class _Bound(ConstraintRule):
 
     @property
     def description(self) -> str:
-        return f"If we see a {self.attribute.replace('_', ' ')} for a column, we suggest a corresponding constraint"
+        return f"The {self.attribute.replace('_', ' ')} seen now bounds later data"
 
     def applies(self, profile, n):
         return isinstance(profile, self.kind) and getattr(profile, self.attribute) is not None

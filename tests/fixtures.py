@@ -1,4 +1,7 @@
-"""Small tables with known metrics."""
+"""Small tables with known metrics.
+
+Fixed values: the rows are those that the golden metrics of the tests belong to.
+"""
 
 
 def numeric(spark):

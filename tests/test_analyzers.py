@@ -126,7 +126,8 @@ def jobs(spark, run):
 
 
 def test_scans_share_one_pass(spark):
-    df = X.numeric(spark).repartition(2).localCheckpoint()
+    df = X.numeric(spark).repartition(2).persist()
+    df.count()
     a = [O.Minimum("att1"), O.Maximum("att1"), O.Mean("att1"), O.Sum("att1"), O.StandardDeviation("att1"), O.Completeness("att1"), O.Size()]
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:

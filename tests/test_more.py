@@ -24,9 +24,9 @@ def test_dataset_match(spark):
     assert K.column_match(a, b, {"id": "new_id"}, {"name": "name"}, lambda r: r >= 0.6).ratio == 4 / 6
     assert isinstance(K.column_match(a, b, {"id": "new_id"}, {"name": "name"}, lambda r: r >= 0.9), K.Failed)
     assert K.column_match(a, b, {"id": "new_id"}, None, ANY).ratio == 3 / 6
-    assert "unique" in K.column_match(a, b, {"name": "name"}, {"state": "state"}, ANY).message
-    assert "not found" in K.column_match(a, b, {"id": "id"}, {"name": "name"}, ANY).message
-    assert "row counts" in K.column_match(a, b.limit(5), {"id": "new_id"}, {"name": "name"}, ANY).message
+    assert "repeat" in K.column_match(a, b, {"name": "name"}, {"state": "state"}, ANY).message
+    assert "lacks" in K.column_match(a, b, {"id": "id"}, {"name": "name"}, ANY).message
+    assert "rows against" in K.column_match(a, b.limit(5), {"id": "new_id"}, {"name": "name"}, ANY).message
     rows = {r["id"]: r["outcome"] for r in K.column_match_rows(a, b, {"id": "new_id"}, {"name": "name", "state": "state"}).collect()}
     assert rows == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
     nulls = spark.createDataFrame([(1, None)], "id int, name string")
@@ -194,3 +194,11 @@ def test_empty_tables_compare(spark):
     e = X.empty(spark)
     assert K.column_match(e, e, {"column1": "column1"}, {"column2": "column2"}, ANY).ratio == 1.0
     assert K.subset_check(e, ["column1"], e, ["column1"], ANY).ratio == 1.0
+
+
+def test_email_pattern_takes_quoted_names_and_addresses_in_brackets(spark):
+    from dqengine.functions import patterns
+
+    rows = [("someone@example.com", True), ('"john.doe"@example.com', True), ("john@[192.168.0.1]", True), ("someone@", False), ("example.com", False)]
+    df = spark.createDataFrame(rows, "s string, good boolean")
+    assert all(x.met == x.good for x in df.select("good", df.s.rlike(f"^(?:{patterns.EMAIL})$").alias("met")).collect())
