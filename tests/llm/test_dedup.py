@@ -259,6 +259,37 @@ def test_chains_are_the_best():
         assert sorted(x for c in found for x in c) == m
 
 
+def test_edit_distance_of_words_is_that_of_the_table():
+    r = random.Random(5)
+    for n in range(400):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 90 if n % 10 == 0 else 9))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            corner, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+        assert chaining.edit_distance(a, b) == row[-1]
+
+
+def test_texts_of_a_seed_meet_in_one_tile_or_several():
+    r = random.Random(6)
+    rows = sorted({(r.randint(0, 30), r.randint(0, 1 << 40), r.randint(-50, 50)) for _ in range(400)} | {(99, i << 30, i % 90) for i in range(200)})
+    h, p, th = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    for tile in (len(h), 64, 7):
+        found, last = [], None
+        for i in range(0, len(h), tile):
+            found += zip(*(c.tolist() for c in chaining.meetings(h[i : i + tile], th[i : i + tile], p[i : i + tile], last)), strict=True)
+            last = tuple(int(c[i : i + tile][-1]) for c in (h, th, p))
+        seeds = {}
+        for seed, place, text in rows:
+            seeds.setdefault((text, place & (1 << chaining.AT_BITS) - 1), set()).add(seed)
+        assert all(a > b and seeds[a, x] & seeds[b, y] for a, x, b, y in found)
+        for seed in {x[0] for x in rows}:
+            texts = sorted({x[2] for x in rows if x[0] == seed})
+            links = [(texts.index(a), texts.index(b)) for a, x, b, y in found if seed in seeds[a, x] & seeds[b, y]]
+            assert set(find_components(len(texts), links)) == {0}
+
+
 def test_passages_are_found_and_only_they(spark):
     r = random.Random(1)
     docs = [words(r, r.randint(30, 300)) for _ in range(60)]
