@@ -6,7 +6,10 @@ one row for each metric, numbers rounded on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -427,6 +430,170 @@ def rules_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.col("DataQualityEvaluationResult").alias("outcome"))
 
 
+# every method of a check, with the SQL of what it holds
+
+DISTINCT = "(SELECT COUNT(*) FROM (SELECT DISTINCT {0} FROM lineitem))"
+SINGLE = "(SELECT COUNT(*) FROM (SELECT 1 FROM lineitem GROUP BY {0} HAVING COUNT(*) = 1))"
+KEY = ("l_orderkey", "l_linenumber")
+CHECK_METHODS: list[tuple[Callable[[Check], Check], str]] = [
+    (lambda c: c.has_size(Is(">", 50000)), "COUNT(*) > 50000"),
+    (lambda c: c.has_column_count(Is("==", 11)), "TRUE"),
+    (lambda c: c.has_column("l_tax"), "TRUE"),
+    (lambda c: c.has_zeros_count("l_discount", Is(">", 0)), "COUNT(*) FILTER (WHERE l_discount = 0) > 0"),
+    (lambda c: c.has_duplicate_row_count(KEY, Is(">", 0)), f"COUNT(*) > {DISTINCT.format('l_orderkey, l_linenumber')}"),
+    (lambda c: c.has_completeness("l_tax", Is(">=", 1.0)), "COUNT(l_tax) = COUNT(*)"),
+    (lambda c: c.are_complete(["l_tax", "l_discount"]), "COUNT(l_tax + l_discount) = COUNT(*)"),
+    (lambda c: c.have_completeness(["l_tax", "l_discount"], Is("<", 1.0)), "COUNT(l_tax + l_discount) < COUNT(*)"),
+    (lambda c: c.are_any_complete(["l_tax", "l_discount"]), "COUNT(COALESCE(l_tax, l_discount)) = COUNT(*)"),
+    (lambda c: c.have_any_completeness(["l_tax", "l_discount"], Is("<", 0.5)), "COUNT(COALESCE(l_tax, l_discount)) < 0.5 * COUNT(*)"),
+    (lambda c: c.are_unique(KEY), f"COUNT(*) = {SINGLE.format('l_orderkey, l_linenumber')}"),
+    (lambda c: c.is_primary_key(*KEY), f"COUNT(*) = {SINGLE.format('l_orderkey, l_linenumber')}"),
+    (lambda c: c.has_uniqueness(KEY, Is(">", 0.2)), f"{SINGLE.format('l_orderkey, l_linenumber')} > 0.2 * COUNT(*)"),
+    (lambda c: c.has_distinctness("l_partkey", Is("<", 0.1)), f"{DISTINCT.format('l_partkey')} < 0.1 * COUNT(*)"),
+    (lambda c: c.has_unique_value_ratio("l_orderkey", Is("<", 0.5)), f"COUNT(*) > 0 AND {SINGLE.format('l_orderkey')} < 0.5 * {DISTINCT.format('l_orderkey')}"),
+    (lambda c: c.has_number_of_distinct_values("l_returnflag", Is("==", 3)), "COUNT(DISTINCT l_returnflag) = 3"),
+    (lambda c: c.has_entropy("l_returnflag", Is(">", 1.0)), "(SELECT -SUM(p * LN(p)) FROM (SELECT COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS p FROM lineitem GROUP BY l_returnflag)) > 1.0"),
+    (lambda c: c.has_exact_quantile("l_quantity", 0.25, Is(">=", 13.0)), "QUANTILE_CONT(l_quantity, 0.25) >= 13"),
+    (lambda c: c.has_approx_quantile("l_quantity", 0.5, Is(">", 20.0)), "MEDIAN(l_quantity) > 20"),
+    (lambda c: c.has_min_length("l_returnflag", Is("==", 1)), "MIN(LENGTH(l_returnflag)) = 1"),
+    (lambda c: c.has_max_length("l_returnflag", Is(">", 1)), "MAX(LENGTH(l_returnflag)) > 1"),
+    (lambda c: c.has_min("l_quantity", Is("==", 1.0)), "MIN(l_quantity) = 1"),
+    (lambda c: c.has_max("l_quantity", Is("<", 50.0)), "MAX(l_quantity) < 50"),
+    (lambda c: c.has_range("l_quantity", Is("==", 49.0)), "MAX(l_quantity) - MIN(l_quantity) = 49"),
+    (lambda c: c.has_interquartile_range("l_quantity", Is("<", 20.0)), "QUANTILE_CONT(l_quantity, 0.75) - QUANTILE_CONT(l_quantity, 0.25) < 20"),
+    (lambda c: c.has_mean("l_quantity", Is(">", 25.0)), "AVG(l_quantity) > 25"),
+    (lambda c: c.has_sum("l_linenumber", Is(">", 200000.0)), "SUM(l_linenumber) > 200000"),
+    (lambda c: c.has_standard_deviation("l_quantity", Is("<", 14.0)), "STDDEV_POP(l_quantity) < 14"),
+    (lambda c: c.has_variance("l_quantity", Is(">", 200.0)), "VAR_POP(l_quantity) > 200"),
+    (lambda c: c.has_skewness("l_extendedprice", Is("<", 0.0)), "SKEWNESS(l_extendedprice) < 0"),
+    (lambda c: c.has_kurtosis("l_quantity", Is("<", -1.0)), "KURTOSIS_POP(l_quantity) < -1"),
+    (lambda c: c.has_approx_count_distinct("l_returnflag", Is("==", 3)), "COUNT(DISTINCT l_returnflag) = 3"),
+    (lambda c: c.has_correlation("l_quantity", "l_extendedprice", Is(">", 0.5)), "CORR(l_quantity, l_extendedprice) > 0.5"),
+    (lambda c: c.has_ratio_of_sums("l_discount", "l_tax", Is(">", 1.1)), "SUM(l_discount) > 1.1 * SUM(l_tax)"),
+    (lambda c: c.has_pattern("l_returnflag", "^[AN]$", Is(">", 0.6)), "COUNT(*) FILTER (WHERE l_returnflag IN ('A', 'N')) > 0.6 * COUNT(*)"),
+    (lambda c: c.contains_email("l_returnflag", Is("==", 0.0)), "TRUE"),
+    (lambda c: c.contains_url("l_returnflag", Is("==", 0.0)), "TRUE"),
+    (lambda c: c.contains_credit_card_number("l_returnflag", Is("==", 0.0)), "TRUE"),
+    (lambda c: c.contains_social_security_number("l_returnflag", Is(">", 0.0)), "FALSE"),
+    (lambda c: c.is_positive("l_discount"), "BOOL_AND(l_discount > 0)"),
+    (lambda c: c.is_less_than_or_equal_to("l_discount", "l_tax"), "BOOL_AND(l_discount <= l_tax)"),
+    (lambda c: c.is_greater_than("l_quantity", "l_discount"), "BOOL_AND(l_quantity > l_discount)"),
+    (lambda c: c.is_greater_than_or_equal_to("l_tax", "l_discount", Is(">", 0.3)), "COUNT(*) FILTER (WHERE l_tax >= l_discount) > 0.3 * COUNT(*)"),
+    (lambda c: c.is_contained_in_range("l_quantity", 1, 40), "BOOL_AND(l_quantity BETWEEN 1 AND 40)"),
+    (lambda c: c.satisfies("l_quantity > 10 AND l_tax < 0.05", "many", Is(">", 0.4)), "COUNT(*) FILTER (WHERE l_quantity > 10 AND l_tax < 0.05) > 0.4 * COUNT(*)"),
+]
+
+
+@query("check_methods", "\nUNION ALL\n".join(f"SELECT {i + 1} AS constraint_no, {sql} AS ok{'' if sql in ('TRUE', 'FALSE') or sql.startswith('(SELECT -') else ' FROM lineitem'}" for i, (_, sql) in enumerate(CHECK_METHODS)))
+def check_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.verification import VerificationSuite
+
+    check = Check(CheckLevel.WARNING, "methods")
+    for add, _ in CHECK_METHODS:
+        check = add(check)
+    found = VerificationSuite.on_data(table(spark, sf_dir, "lineitem")).add_check(check).run()
+    return spark.createDataFrame([(i + 1, r[4] == "Success") for i, r in enumerate(found.rows())], "constraint_no int, ok boolean")
+
+
+# more strategies, distances and bounds
+
+
+def _days_found(spark: SparkSession, sf_dir: str, strategy: Any) -> DataFrame:
+    days = _history(spark, sf_dir)
+    found = strategy.detect([float(n) for _, n in days], (0, len(days)))
+    return spark.createDataFrame([days[i] for i, _ in found], "day string, n long")
+
+
+PAST = "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, COUNT(*) AS n FROM orders GROUP BY 1), p AS (SELECT *, LAG(n) OVER w AS b, LAG(n, 2) OVER w AS a, AVG(n) OVER w AS m, STDDEV_POP(n) OVER w AS sd, ROW_NUMBER() OVER w - 1 AS i, COUNT(*) OVER () AS days FROM d WINDOW w AS (ORDER BY day)) SELECT CAST(day AS VARCHAR) AS day, CAST(n AS BIGINT) AS n FROM p WHERE "
+
+
+@query("anomaly_relative_change", PAST + "n / CAST(b AS DOUBLE) < 0.4 OR n / CAST(b AS DOUBLE) > 2.6")
+def anomaly_relative_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.anomaly import RelativeRateOfChangeStrategy
+
+    return _days_found(spark, sf_dir, RelativeRateOfChangeStrategy(0.4, 2.6))
+
+
+@query("anomaly_second_difference", PAST + "n - 2 * b + a < -9 OR n - 2 * b + a > 9")
+def anomaly_second_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.anomaly import RateOfChangeStrategy
+
+    return _days_found(spark, sf_dir, RateOfChangeStrategy(-9.0, 9.0, 2))
+
+
+@query("anomaly_online_normal", PAST + "i >= 0.1 * days AND (n < m - 2 * sd OR n > m + 2 * sd)")
+def anomaly_online_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.anomaly import OnlineNormalStrategy
+
+    return _days_found(spark, sf_dir, OnlineNormalStrategy(2.0, 2.0, 0.1, ignore_anomalies=False))
+
+
+@query("distance_chi_square", "WITH a AS (SELECT l_returnflag AS k, COUNT(*) AS c FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), b AS (SELECT l_returnflag AS k, COUNT(*) AS c FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), e AS (SELECT a.c, b.c / CAST(SUM(b.c) OVER () AS DOUBLE) * SUM(a.c) OVER () AS e FROM a JOIN b USING (k)) SELECT 'chi_square' AS metric, ROUND(SUM((c - e) * (c - e) / e), 6) AS value FROM e")
+def distance_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.distance import ChisquareMethod, categorical_distance
+
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_returnflag").count().collect()
+    a, b = ({r[1]: r[2] for r in rows if r[0] == s} for s in ("O", "F"))
+    return result(spark, [("chi_square", categorical_distance(a, b, True, ChisquareMethod()), 6)])
+
+
+@query("distance_psi", "WITH t AS (SELECT CAST(FLOOR((l_quantity - 1) / 10) AS INT) AS k, COUNT(*) FILTER (WHERE l_linestatus = 'O') AS a, COUNT(*) FILTER (WHERE l_linestatus = 'F') AS b FROM lineitem GROUP BY 1), s AS (SELECT a / CAST(SUM(a) OVER () AS DOUBLE) AS p, b / CAST(SUM(b) OVER () AS DOUBLE) AS q FROM t) SELECT 'psi' AS metric, ROUND(SUM((p - q) * LN(p / q)), 9) AS value FROM s")
+def distance_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dqengine.distance import population_stability_index
+    from dqengine.metrics import BucketValue
+
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.floor((F.col("l_quantity") - 1) / 10).cast("int").alias("k")).pivot("l_linestatus", ["O", "F"]).count().orderBy("k").collect()
+    a, b = ([BucketValue(10.0 * r["k"] + 1, 10.0 * r["k"] + 11, r[s] or 0) for r in rows] for s in ("O", "F"))
+    return result(spark, [("psi", population_stability_index(a, b), 9)])
+
+
+@query("approx_bounds", "SELECT metric, TRUE AS within FROM (VALUES ('l_partkey'), ('l_suppkey'), ('l_orderkey'), ('median'), ('q0.1'), ('q0.9')) AS t(metric)")
+def approx_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do the approximate metrics hold their bounds: three standard errors of 5 % for counts, 1 % of the ranks for quantiles."""
+    df, columns, quantiles = table(spark, sf_dir, "lineitem"), ("l_partkey", "l_suppkey", "l_orderkey"), {"median": 0.5, "q0.1": 0.1, "q0.9": 0.9}
+    counts, shares = {c: O.ApproxCountDistinct(c) for c in columns}, {k: O.ApproxQuantile("l_extendedprice", q) for k, q in quantiles.items()}
+    found = run_analyzers(df, [*counts.values(), *shares.values()])
+    below = [F.avg((F.col("l_extendedprice") <= found[a].get()).cast("double")).alias(k) for k, a in shares.items()]
+    exact = df.agg(*(F.countDistinct(c).alias(c) for c in columns), *below).first()
+    rows = [(c, abs(found[a].get() / exact[c] - 1) <= 0.15) for c, a in counts.items()] + [(k, abs(exact[k] - q) <= 0.011) for k, q in quantiles.items()]
+    return spark.createDataFrame(rows, "metric string, within boolean")
+
+
+# streams and stored metrics
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that spark.checkpoint.dir names; in a temporary one where none is named, as in tests."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='queries-')}/{uuid.uuid4().hex}"
+
+
+@query("streaming_metrics", "SELECT 'rows' AS metric, CAST(COUNT(*) AS DOUBLE) AS value FROM lineitem UNION ALL SELECT 'mean', ROUND(AVG(l_quantity), 6) FROM lineitem UNION ALL SELECT 'distinctness', ROUND(COUNT(DISTINCT l_partkey) / CAST(COUNT(*) AS DOUBLE), 6) FROM lineitem")
+def streaming_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of a stream of the table's files, by merging the states of its batches."""
+    from dqengine.streaming.incremental import IncrementalMetrics
+
+    named = {"rows": (O.Size(), 0), "mean": (O.Mean("l_quantity"), 6), "distinctness": (O.Distinctness(("l_partkey",)), 6)}
+    metrics = IncrementalMetrics([a for a, _ in named.values()])
+    stream = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).option("maxFilesPerTrigger", "1").parquet(f"{sf_dir}/lineitem.parquet*")  # a pattern, for the table may be one file
+    running = metrics.attach(stream, checkpointLocation=_folder(spark))
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return result(spark, [(k, metrics.last[1][a].get(), d) for k, (a, d) in named.items()])
+
+
+@query("repository_history", "WITH t AS (SELECT o_orderstatus AS status, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS dataset_date, CAST(COUNT(*) AS DOUBLE) AS n, ROUND(AVG(o_totalprice), 4) AS m FROM orders GROUP BY 1) SELECT CAST(dataset_date AS BIGINT) AS dataset_date, status, 'Size' AS name, n AS value FROM t WHERE dataset_date >= 2 UNION ALL SELECT dataset_date, status, 'Mean', m FROM t WHERE dataset_date >= 2")
+def repository_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of three dates, saved to a file and loaded from the second on."""
+    from dqengine.sources.repository import FileMetricsRepository, ResultKey
+
+    orders, kept = table(spark, sf_dir, "orders"), FileMetricsRepository(spark, f"{_folder(spark)}/metrics.json")
+    for date, status in enumerate(("F", "O", "P"), 1):
+        kept.save(ResultKey(date, {"status": status}), run_analyzers(orders.where(F.col("o_orderstatus") == status), [O.Size(), O.Mean("o_totalprice")]))
+    return kept.load().after(2).get_success_metrics_as_dataframe(spark).select("dataset_date", "status", "name", F.round("value", 4).alias("value"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A check of lineitem and the metrics it took: (entity, instance, name, value)."""
     from dqengine.verification import VerificationSuite
@@ -435,3 +602,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+ORACLES["flagship"] = """SELECT 'Dataset' AS entity, '*' AS instance, 'Size' AS name, CAST(COUNT(*) AS DOUBLE) AS value FROM lineitem UNION ALL
+SELECT 'Column', 'l_orderkey', 'Completeness', COUNT(l_orderkey) / CAST(COUNT(*) AS DOUBLE) FROM lineitem UNION ALL
+SELECT 'Column', 'l_orderkey', 'Uniqueness', COUNT(*) FILTER (WHERE c = 1) / CAST(SUM(c) AS DOUBLE) FROM (SELECT COUNT(*) AS c FROM lineitem GROUP BY l_orderkey) UNION ALL
+SELECT 'Column', 'l_returnflag contained in A,N,R', 'Compliance', AVG(CASE WHEN l_returnflag IN ('A', 'N', 'R') THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL
+SELECT 'Column', 'l_discount is non-negative', 'Compliance', AVG(CASE WHEN l_discount >= 0 THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL
+SELECT 'Column', 'l_discount', 'Maximum (where: l_tax < 0.02)', MAX(l_discount) FROM lineitem WHERE l_tax < 0.02 UNION ALL
+SELECT 'Column', 'l_discount is less than l_quantity', 'Compliance', AVG(CASE WHEN l_discount < l_quantity THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL
+SELECT 'Column', 'l_linestatus', 'MinLength', CAST(MIN(LENGTH(l_linestatus)) AS DOUBLE) FROM lineitem"""
