@@ -185,7 +185,8 @@ def removals(keyed: DataFrame, min_chars: int) -> DataFrame:
     decided = first.join(near, ["_lh", "_lc"], "left").where((F.col("_copies") > 1) | F.col("_near").isNotNull())
     # cut: the join with all places then has a shuffle of its own on either side, and Spark can split a line's many copies
     decided = cut(decided.select("_lh", "_lc", "_first", F.coalesce("_near", F.lit(False)).alias("_near")))
-    gone = places.join(decided, ["_lh", "_lc"]).where(F.col("_near") | (F.col("_pos") != F.col("_first")))
+    # merge: this join and that of dedup_lines() are planned by who reads the result, and none is to be broadcast
+    gone = places.join(decided.hint("merge"), ["_lh", "_lc"]).where(F.col("_near") | (F.col("_pos") != F.col("_first")))
     return gone.groupBy(F.col("_pos._dk").alias("_dk")).agg(F.collect_set("_pos._n").alias("_gone"), F.collect_set(F.when(F.col("_near"), F.col("_pos._n"))).alias("_near"))
 
 
@@ -202,7 +203,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     counts = {"lines": F.size(lines).cast("long"), "lines_gone": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "lines_near": F.coalesce(F.size("_near"), F.lit(0)).cast("long")}
-    out = keyed.join(gone, "_dk", "left")
+    out = keyed.join(gone.hint("merge"), "_dk", "left")
     made = {k: F.when(F.col("_gone").isNull() & F.lit(k != "lines"), F.lit(0).cast("long")).otherwise(v).alias(k) for k, v in counts.items()}
     columns = {id_col: F.col("_id").alias(id_col), text_col: text.alias(text_col)} | {c: F.col(f"_own_{c}").alias(c) for c in own}
     return out.select(*(columns[c] for c in docs.columns if c in columns), *made.values())

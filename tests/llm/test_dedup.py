@@ -369,3 +369,18 @@ def test_passage_edge_cases(spark):
     found = [(x.doc_id, x.other_id) for x in chaining.passages(edge_cases(spark, long)).collect()]
     assert all(1 in pair or None in pair for pair in found) and len(found) == 1  # equal texts under an id and none
     assert chaining.passages(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("operator", [line_dedup.dedup_lines])
+def test_nothing_is_broadcast_unasked(spark, operator):
+    r = random.Random(12)
+    lines = [" ".join(words(r, 12)) for _ in range(30)]
+    texts = [f"{lines[i % 30]} {lines[(i + 5) % 30]}\n{lines[i % 30]}{'x' * (i // 30)}" for i in range(60)]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    most = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(most, "1b")  # a broadcast fails
+    try:
+        assert operator(rows).count() == 60
+    finally:
+        spark.conf.unset(most)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
