@@ -155,10 +155,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = cut(fingerprints(docs.select(F.col(id_col), F.col(text_col).alias("_text")), text_col="_text", n=n, seed=seed))
     fps = own.groupBy("fp").agg(F.min(id_col).alias("_least"))
     joined = connected_components(links(fps.select("fp"), max_distance=max_distance, shared=shared))
-    rooted = fps.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+    # the joins below are planned by who reads the result: merge joins, so that none is broadcast
+    rooted = fps.join(joined.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id")).select(apart(F.col("root")).alias("_r"), "component_id")
-    placed = rooted.join(least, apart(F.col("root")) == F.col("_r")).select(apart(F.col("fp")).alias("_f"), "component_id")
-    return own.join(placed, apart(F.col("fp")) == F.col("_f")).select(id_col, "fp", "component_id")
+    placed = rooted.join(least.hint("merge"), apart(F.col("root")) == F.col("_r")).select(apart(F.col("fp")).alias("_f"), "component_id")
+    return own.join(placed.hint("merge"), apart(F.col("fp")) == F.col("_f")).select(id_col, "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -181,4 +182,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     name = fresh(docs, "_gone")
     gone = placed.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
     # a null id equals none, so its rows stay
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone[name], "left_anti")
