@@ -371,7 +371,7 @@ def test_passage_edge_cases(spark):
     assert chaining.passages(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("operator", [simhash.near_duplicates, line_dedup.dedup_lines])
+@pytest.mark.parametrize("operator", [simhash.near_duplicates, near_copies.near_copies, line_dedup.dedup_lines])
 def test_nothing_is_broadcast_unasked(spark, operator):
     r = random.Random(12)
     lines = [" ".join(words(r, 12)) for _ in range(30)]
