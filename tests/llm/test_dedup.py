@@ -384,3 +384,36 @@ def test_nothing_is_broadcast_unasked(spark, operator):
     finally:
         spark.conf.unset(most)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+
+
+def test_near_copies_meet_by_wide_simhash():
+    r = np.random.default_rng(13)
+    pairs = []
+    for n in (9, 45, 450):  # n - n / 9 of n shingles in common: a similarity of 0.8
+        for _ in range(100):
+            h = r.integers(0, 1 << 63, n + n // 9, np.uint64)
+            pairs.append((h[:n], h[n // 9 :]))
+    assert all(near_copies.jaccard(np.sort(a), np.sort(b)) == pytest.approx(0.8) for a, b in pairs)
+    prints = np.array([[near_copies.fingerprint(x) for x in pair] for pair in pairs])
+    for i in (0, 150, 299):
+        hashes = near_copies.mixed(pairs[i][0][:, None] ^ near_copies._SALTS)
+        bits = [sum(int(x) >> b & 1 for x in hashes[:, w]) * 2 > len(hashes) for w in range(8) for b in range(64)]
+        assert [int(prints[i, 0, b // 64]) >> b % 64 & 1 for b in range(512)] == bits
+    every = range(near_copies.TABLES)
+    met = (near_copies.blocks(prints[:, 0], every) == near_copies.blocks(prints[:, 1], every)).any(axis=1)
+    differ = np.bitwise_count(prints[:, 0] ^ prints[:, 1])
+    near = (differ.sum(axis=1) <= near_copies.most_bits(0.8, 512)) & (differ[:, :2].sum(axis=1) <= near_copies.most_bits(0.8, 128))
+    assert (met & near).sum() >= 297
+    others = np.bitwise_count(prints[:, 0] ^ np.roll(prints[:, 0], 1, axis=0))[:, :2].sum(axis=1)
+    assert others.min() > near_copies.most_bits(0.8, 128)
+
+
+@pytest.mark.parametrize("small, following", [(4096, 8), (4096, 1), (3, 1)])
+def test_texts_of_a_block_that_have_a_partner(monkeypatch, small, following):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "NEXT", following)
+    r = np.random.default_rng(14)
+    k = np.sort(r.integers(0, 30, 200))
+    f = r.integers(0, 1 << 63, (12, 2), np.uint64)[r.integers(0, 12, 200)] ^ r.integers(0, 4, (200, 2), np.uint64)
+    want = [any(i != j and k[i] == k[j] and np.bitwise_count(f[i] ^ f[j]).sum() <= 4 for j in range(200)) for i in range(200)]
+    assert near_copies.partnered(k, f, 4).tolist() == want and 0 < sum(want) < 200
