@@ -417,3 +417,34 @@ def test_texts_of_a_block_that_have_a_partner(monkeypatch, small, following):
     f = r.integers(0, 1 << 63, (12, 2), np.uint64)[r.integers(0, 12, 200)] ^ r.integers(0, 4, (200, 2), np.uint64)
     want = [any(i != j and k[i] == k[j] and np.bitwise_count(f[i] ^ f[j]).sum() <= 4 for j in range(200)) for i in range(200)]
     assert near_copies.partnered(k, f, 4).tolist() == want and 0 < sum(want) < 200
+
+
+def test_texts_of_a_block_are_linked_as_far_as_bits_connect():
+    r = np.random.default_rng(15)
+    rows = sorted({(int(k), int(th)) for k, th in r.integers(0, 12, (150, 2)) * (1, 40) + r.integers(0, 40, (150, 2)) * (0, 1)})
+    k, th = (np.array(c) for c in zip(*rows, strict=True))
+    f = r.integers(0, 1 << 63, (3, 2), np.uint64)[r.integers(0, 3, len(k))] ^ r.integers(0, 64, (len(k), 2), np.uint64)
+    has = near_copies.partnered(k, f, 3)
+    k, th, f = k[has], th[has], f[has]
+    near = (k[:, None] == k) & (np.bitwise_count(f[:, None] ^ f).sum(axis=2) <= 3)
+    root = find_components(len(k), [(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True)])
+    want = {(int(th[i]), int(th[x])) for i, x in enumerate(root) if th[i] != th[x]}
+    assert set(zip(*(c.tolist() for c in near_copies.block_links(k, th, f, 3)), strict=True)) == want and want
+
+
+def test_each_near_copy_is_compared_as_one_row(spark, monkeypatch):
+    r = random.Random(16)
+    base, texts = words(r, 150), []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(4):
+            copy[r.randrange(len(copy))] = "".join(r.choices("xyz", k=6))
+        texts.append(" ".join(copy))
+    made, whole = [], near_copies._cell_links
+    monkeypatch.setattr(near_copies, "_cell_links", lambda met, *a: made.append(met.count()) or whole(met, *a))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    found = {x.doc_id: x.component_id for x in near_copies.near_copies(spark.createDataFrame(rows, SCHEMA), tile=8, rounds=1).collect()}
+    h = [near_copies.shingles(t.encode(), 5) for t in texts]
+    links = [(i, j) for i in range(60) for j in range(i) if near_copies.jaccard(h[i], h[j]) >= 0.8]
+    assert [found[i] for i in range(60)] == find_components(60, links)
+    assert 1 < len(set(found.values())) and 0 < made[0] <= 60
