@@ -346,6 +346,26 @@ def test_passages_edited_in_a_sixth_of_their_words(spark):
     assert len(pairs & {frozenset((2 * i, 2 * i + 1)) for i in range(60)}) >= 57
 
 
+def test_edited_copies_of_a_passage_are_linked_and_of_one_class(spark):
+    r = random.Random(17)
+    docs, groups, at = [], [], 0
+    for n in (6, 24, 24, 60):
+        p = words(r, 60)
+        for _ in range(n):
+            q = list(p)
+            for i in r.sample(range(60), 3):
+                q[i] = "edited"
+            docs.append(words(r, 40) + q + words(r, 40))
+        groups.append(range(at, at + n))
+        at += n
+    found = chaining.passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    pairs = {frozenset((x.doc_id, x.other_id)) for x in found}
+    want = [{frozenset((i, j)) for i in g for j in g if i < j} for g in groups]
+    assert pairs <= set().union(*want)
+    assert all(len(pairs & w) >= 0.98 * len(w) for w in want[:3])  # the largest is a crowd: its class is whole, its links are not
+    assert {(y, x.class_id) for x in found for y in (x.doc_id, x.other_id)} == {(i, g[0]) for g in groups for i in g}
+
+
 def test_passages_of_one_repeated_line_or_word(spark):
     r = random.Random(8)
     line = words(r, 10)
