@@ -457,7 +457,7 @@ def test_each_near_copy_is_compared_as_one_row(spark, monkeypatch):
     base, texts = words(r, 150), []
     for _ in range(60):
         copy = list(base)
-        for _ in range(4):
+        for _ in range(r.randint(1, 4)):
             copy[r.randrange(len(copy))] = "".join(r.choices("xyz", k=6))
         texts.append(" ".join(copy))
     made, whole = [], near_copies._cell_links
@@ -467,4 +467,4 @@ def test_each_near_copy_is_compared_as_one_row(spark, monkeypatch):
     h = [near_copies.shingles(t.encode(), 5) for t in texts]
     links = [(i, j) for i in range(60) for j in range(i) if near_copies.jaccard(h[i], h[j]) >= 0.8]
     assert [found[i] for i in range(60)] == find_components(60, links)
-    assert 1 < len(set(found.values())) and 0 < made[0] <= 60
+    assert 1 < len(set(found.values())) < 50 and 0 < made[0] <= 60
