@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -290,6 +292,27 @@ def test_texts_of_a_seed_meet_in_one_tile_or_several():
             assert set(find_components(len(texts), links)) == {0}
 
 
+def test_matches_of_crowds_come_in_bounded_batches(monkeypatch):
+    class Table:
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+    monkeypatch.setattr(chaining, "map_batches", lambda df, fn, schema: fn)
+    run = chaining._match_table(Table())
+    r = random.Random(9)
+    rows = sorted((seed, r.randrange(1 << 62), text) for seed in range(3_000) for text in r.sample(range(10_000), 32))
+    h, p, th = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 10_000]) for c in (h, th, p)], ["_h", "_th", "_p"]) for i in range(0, len(h), 10_000)]
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in run(iter(batches))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == 3_000 * 32 * 31 // 2  # all meet all
+    assert max(sizes) <= 65_536
+    assert peak < 40_000_000, peak
+
+
 def test_passages_are_found_and_only_they(spark):
     r = random.Random(1)
     docs = [words(r, r.randint(30, 300)) for _ in range(60)]
