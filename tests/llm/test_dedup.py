@@ -1,9 +1,11 @@
 """SimHash, line, suffix-array and passage deduplication against brute force."""
 
 import hashlib
+import platform
 import random
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dqengine.llm import chaining, line_dedup, near_copies, simhash, suffix_groups
+from dqengine.llm import chaining, common, line_dedup, near_copies, simhash, suffix_groups
 from dqengine.llm.components import connected_components
 from tests.llm.common import SCHEMA, WORD, edge_cases, empty, find_components, words
 
@@ -414,6 +416,23 @@ def test_passage_edge_cases(spark):
     assert chaining.passages(empty(spark)).count() == 0
 
 
+def test_memory_goes_back_when_a_table_is_written(spark):
+    if "glibc" not in platform.libc_ver():
+        pytest.skip("only glibc keeps it")
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    common.cut(spark.range(5))  # what the first table needs stays
+    made = [bytes(1_500) for _ in range(100_000)]
+    kept = made[::1_000]
+    del made
+    before = resident()
+    assert common.cut(spark.range(5)).count() == 5
+    assert before - resident() > 100_000_000, len(kept)
+    assert "Trim native heap" in common.give_back(spark)
+
+
 @pytest.mark.parametrize("operator", [simhash.near_duplicates, near_copies.near_copies, line_dedup.dedup_lines])
 def test_nothing_is_broadcast_unasked(spark, operator):
     r = random.Random(12)
